@@ -4,7 +4,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this subpackage that register a query: each has NAME, query() and perhaps ORACLE_SQL.
-MODULES = ("chat_format", "line_dedup", "url_filter")
+MODULES = ("chat_format", "line_dedup", "simhash", "url_filter")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
