@@ -4,7 +4,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this subpackage that register a query: each has NAME, query() and perhaps ORACLE_SQL.
-MODULES = ("bpe", "chat_format", "line_dedup", "quality", "simhash", "url_filter")
+MODULES = ("bpe", "chat_format", "decontaminate", "line_dedup", "quality", "simhash", "url_filter")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
