@@ -76,15 +76,16 @@ def chosen_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
     known = m.select("tree", F.col("message").alias("parent"), F.lit(True).alias("known"))
     start = m.join(known, ["tree", "parent"], "left").select("tree", "message", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), "score")
     now, path = materialize(start, "reply-jumps")
-    rounds, paths, before = [now], [path], None
-    while (open_ := now.filter("up is not null").count()) not in (0, before):  # the same count again: only cycles are left
-        before = open_
-        far = now.select("tree", F.col("message").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"), F.col("score").alias("plus"))
-        longer = now.join(far, ["tree", "up"], "left")
-        now, path = materialize(longer.select("tree", "message", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("plus", F.lit(0.0))).alias("score")), "reply-jumps")
-        rounds.append(now)
+    paths, rounds, closed, before = [path], [now.filter("up is not null")], now.filter("up is null"), None
+    while (count := rounds[-1].count()) not in (0, before):  # the same count again: only cycles are left
+        before, open_ = count, rounds[-1]
+        far = closed.unionByName(open_).select("tree", F.col("message").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"), F.col("score").alias("plus"))
+        longer = open_.join(far, ["tree", "up"]).select("tree", "message", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("score") + F.col("plus")).alias("score"))
+        now, path = materialize(longer, "reply-jumps")  # rows that have reached their root are written once
         paths.append(path)
-    done = rounds[-1].filter("up is null")
+        rounds.append(now.filter("up is not null"))
+        closed = closed.unionByName(now.filter("up is null"))
+    done = closed
     replied = m.select("tree", F.col("parent").alias("message")).distinct()
     leaves = done.join(replied, ["tree", "message"], "left_anti")
     if top is not None:
@@ -94,7 +95,7 @@ def chosen_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
         leaves = leaves.withColumn("rank", F.lit(None).cast("int"))
     out, last = materialize(leaves.select("tree", F.col("message").alias("leaf"), "rank", F.col("score").alias("branch_score"), "message", F.col("steps").alias("position")), "reply-paths")
     for jumps in reversed(rounds[:-1]):  # each row adds the message that many steps above it
-        up = jumps.filter("up is not null").select("tree", "message", "up", F.col("steps").alias("by"))
+        up = jumps.select("tree", "message", "up", F.col("steps").alias("by"))
         above = out.join(up, ["tree", "message"]).select("tree", "leaf", "rank", "branch_score", F.col("up").alias("message"), (F.col("position") - F.col("by")).alias("position"))
         out, path = materialize(out.unionByName(above), "reply-paths")
         paths.append(last)
