@@ -9,8 +9,9 @@ bits, and in each several tables that sample a few of the coordinates, make a bi
 meets an item in any table is verified by the exact edit distance to every stretch of words around it.
 
 Windows start at every word. One that can't match isn't embedded: a passage within d edits of n words shares at
-least n - 1 - 2d word pairs with it, which counts of the documents' pairs known to some item rule out first,
-losing nothing. Documents are read once and only matches leave a task: no shuffle, so no key can be hot. Items
+least all but 2d of its pairs of adjacent different words and all but 3d of its triples, and counts of the
+documents' pairs and triples known to some item rule windows out by this, losing nothing; so do counts of an
+item's own words before the exact distance. Documents are read once and only matches leave a task: no shuffle, so no key can be hot. Items
 are the query set; they are shared in blocks of bounded size, a pass for each block.
 """
 from __future__ import annotations
@@ -26,7 +27,7 @@ from plumbline.llm.common import table
 
 NAME = "op7_decontaminate"
 MAX_EDITS, MIN_WORDS, REPEATS, TABLES, SAMPLED = 0.2, 5, 8, 16, 2
-BLOCK_WORDS, PAIR_BITS, WORDS_AT_ONCE, CACHE = 500_000, 22, 400_000, 400_000
+BLOCK_WORDS, PAIR_BITS, WORDS_AT_ONCE, CACHE = 500_000, 22, 1_500_000, 400_000
 
 
 def normal(token: str) -> str:
@@ -79,10 +80,19 @@ class Index:
         self.numbers: dict[str, int] = {}
         self.items = [(i, np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in ws], np.int64)) for i, ws in items]
         self.max_edits, self.seed = max_edits, seed
-        self.pairs = np.zeros(1 << PAIR_BITS, bool)
+        self.drawn: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # a walk's bits and sampled steps
+        self.pairs, self.triples, self.own = (np.zeros(1 << PAIR_BITS, bool) for _ in range(3))
         self.by_length: dict[int, list[int]] = {}
+        self.need: dict[int, tuple[int, int]] = {}  # the pairs and triples that the most edits leave of any item
         for k, (_, ids) in enumerate(self.items):
-            self.pairs[self.pair(ids[:-1], ids[1:])] = True
+            two, new = self.pair(ids[:-1], ids[1:]), ids[:-1] != ids[1:]
+            self.pairs[two[new]] = True
+            three = new[:-1] & new[1:]
+            self.triples[self.pair(two[:-1], ids[2:])[three]] = True
+            n, d = len(ids), self.edits(len(ids))
+            left = (int(new.sum()) - 2 * d, int(three.sum()) - 3 * d)
+            self.need[n] = tuple(map(min, left, self.need.get(n, left)))
+            self.own[self.pair(np.full(len(ids), k), ids)] = True
             self.by_length.setdefault(len(ids), []).append(k)
         self.keys = {}
         for n, members in self.by_length.items():
@@ -109,8 +119,10 @@ class Index:
         out = np.empty((rows, REPEATS * TABLES), np.uint64)
         at = np.arange(rows)
         for rep in range(REPEATS):
-            rng = np.random.default_rng([self.seed, rep, n])
-            salts = rng.integers(1, 2**63, 2 * n).astype(np.uint64) | np.uint64(1)
+            if (n, rep) not in self.drawn:
+                rng = np.random.default_rng([self.seed, rep, n])
+                self.drawn[n, rep] = rng.integers(1, 2**63, 2 * n).astype(np.uint64) | np.uint64(1), rng.integers(0, 2 * n, (TABLES, SAMPLED))
+            salts, sampled = self.drawn[n, rep]
             walk, place = np.empty((2 * n, rows), np.uint64), np.zeros(rows, np.int64)
             for j in range(2 * n):  # later steps mostly stand on the padding
                 walk[j] = padded[at, place]
@@ -118,7 +130,7 @@ class Index:
                 place = np.minimum(place + bit.astype(np.int64), n)
             for t in range(TABLES):
                 key = np.full(rows, 1 + rep * TABLES + t, np.uint64)
-                for j in rng.integers(0, 2 * n, SAMPLED):
+                for j in sampled[t]:
                     key = (key ^ walk[j]) * np.uint64(0xBF58476D1CE4E5B9)
                     key ^= key >> np.uint64(29)
                 out[:, rep * TABLES + t] = key
@@ -141,18 +153,22 @@ class Index:
         gap = np.zeros(1, np.int64)
         ids = np.concatenate([x for d in docs for x in (d, gap)]) if docs else gap
         starts = np.concatenate(([0], np.cumsum([len(d) + 1 for d in docs])))
-        hit = self.pairs[self.pair(ids[:-1], ids[1:])] & (ids[:-1] > 0) & (ids[1:] > 0)
-        sums = np.concatenate(([0], np.cumsum(hit), np.full(1, hit.sum())))
+        known = (ids[:-1] > 0) & (ids[1:] > 0) & (ids[:-1] != ids[1:])
+        two = self.pair(ids[:-1], ids[1:])
+        three = np.concatenate((known[:-1] & known[1:] & self.triples[self.pair(two[:-1], ids[2:])], [False])) if len(ids) > 2 else known & False
+        sums = [np.concatenate(([0], np.cumsum(x, dtype=np.int32))) for x in (known & self.pairs[two], three)]
+        last = len(ids) - 1
+        span = max(n + self.edits(n) for n in self.by_length)
+        fewest = min(two for two, _ in self.need.values())
+        count = sums[0][np.minimum(np.arange(last + 1) + span - 1, last)] - sums[0]
+        spots = np.flatnonzero(count >= fewest)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        spots = np.flatnonzero(np.concatenate((hit, [False])))
-        if not len(spots):
-            return []
-        for n in self.by_length:
+        for n in self.by_length if len(spots) else ():
             d = self.edits(n)
-            reach = np.unique((spots[:, None] - np.arange(2 * d + 2)).ravel())  # up to d edits before the first shared pair
-            reach = reach[reach >= 0]
-            until = np.minimum(reach + n + d - 1, len(ids) - 1)
-            live = reach[sums[until] - sums[reach] >= n - 1 - 2 * d]
+            live = spots
+            for q, total, need in zip((2, 3), sums, self.need[n]):
+                until = np.minimum(live + n + d - q + 1, last)
+                live = live[total[until] - total[live] >= need]
             for i in range(0, len(live), 1 << 14):
                 self._verify(n, d, live[i : i + (1 << 14)], ids, starts, best)
         return [(doc, k, edits, end) for (doc, k), (edits, end) in sorted(best.items())]
@@ -162,16 +178,23 @@ class Index:
         windows = padded[live[:, None] + np.arange(n)]
         owner = np.searchsorted(starts, live, "right") - 1
         windows[live[:, None] + np.arange(n) >= starts[owner + 1][:, None] - 1] = 0  # not into the next document
+        found = self.candidates(n, windows)
+        if not found:
+            return
+        rows, items = (np.array(x) for x in zip(*found))
+        lo, hi = np.maximum(starts[owner[rows]], live[rows] - 2 * d - 1), np.minimum(starts[owner[rows] + 1] - 1, live[rows] + n + 3 * d + 1)
+        near = lo[:, None] + np.arange(n + 5 * d + 2)
+        near = np.where(near < hi[:, None], np.concatenate([ids, np.zeros(n + 5 * d + 2, np.int64)])[near], 0)
+        shared = (self.own[self.pair(np.broadcast_to(items[:, None], near.shape), near)] & (near > 0)).sum(1)
         done = set()
-        for r, k in self.candidates(n, windows):
-            doc, at = int(owner[r]), int(live[r])
-            if (doc, k, at // (d + 1)) in done:  # a neighbour's verification has covered these words
+        for r, k, a, b, c in zip(rows.tolist(), items.tolist(), lo.tolist(), hi.tolist(), shared.tolist()):
+            doc = int(owner[r])
+            if c < n - d or (doc, k, a // (d + 1)) in done:  # too few of its words here, or looked at from nearby
                 continue
-            done.add((doc, k, at // (d + 1)))
-            lo, hi = max(int(starts[doc]), at - 2 * d - 1), min(int(starts[doc + 1]) - 1, at + n + 3 * d + 1)
-            edits, end = fit_distance(self.items[k][1], ids[lo:hi])
+            done.add((doc, k, a // (d + 1)))
+            edits, end = fit_distance(self.items[k][1], ids[a:b])
             if edits <= d:
-                new = (edits, lo + end - int(starts[doc]))
+                new = (edits, a + end - int(starts[doc]))
                 best[doc, k] = min(best.get((doc, k), new), new)
 
 
