@@ -13,3 +13,9 @@ for _name in MODULES:
     QUERIES[_module.NAME] = _module.query
     if getattr(_module, "ORACLE_SQL", None):
         ORACLE_SQL[_module.NAME] = _module.ORACLE_SQL
+
+import corpus_pipeline  # noqa: E402  the pipeline belongs to this subpackage
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -5,14 +5,18 @@ whose vector has an odd product with v. At most `radius` differing bits span few
 some v is orthogonal to all of them and its table holds both fingerprints in one bucket: no pair is missed.
 
 Only distinct fingerprints are linked. A bucket of two is a pair; one of up to SMALL is compared in place; in a
-larger one, each fingerprint instead goes to the points around it, up to radius/2 bits away, which any two
-linked fingerprints share (radius 2: the 64 one-bit neighbours and itself). Such a meeting holds 65 at most, so
-no group of any size comes together in one task, and no pairs are enumerated.
+larger one, each fingerprint instead goes to the points around it, its 64 one-bit neighbours and itself, which
+any two fingerprints within two bits share. Such a meeting holds 65 at most, so no group of any size comes
+together in one task, and no pairs are enumerated. That is exact for a radius of up to 2, the contract's.
+
+`near_groups`, for dropping near copies, uses a wider radius (an edited copy of a few hundred words differs in
+more than two bits). There a crowd links by these meetings and, further out, to the least and the greatest
+fingerprint of each of its buckets, of which there are 2^(radius+1)-1 for each fingerprint.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,7 @@ from plumbline.llm.components import components
 
 NAME = "op9_simhash"
 WORDS, RADIUS, SEED, SMALL = 3, 2, 42, 8
+GROUP_RADIUS, GROUP_SMALL = 6, 32
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -58,22 +63,28 @@ def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+@lru_cache
 def masks(radius: int, bits: int = 64) -> list[int]:
-    """The covering masks, as signed integers."""
+    """The covering masks, as signed integers; of the ways to deal vectors to bits, one whose least mask is large."""
     full = 2 ** (radius + 1) - 1
-    vectors = [i % full + 1 for i in range(bits)]
-    out = [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, full + 1)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in out]
+
+    def dealt(step: int) -> list[int]:
+        vectors = [i * step % full + 1 for i in range(bits)]
+        return [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, full + 1)]
+
+    best = max((dealt(step) for step in range(1, min(full, 64) + 1)), key=lambda ms: min(m.bit_count() for m in ms))
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in best]
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
     """(a, b): links between distinct fingerprints of nodes(fp) that connect all within the radius, and no others.
 
     Pairs may repeat; around a crowded point, all are linked to the smallest there, which is enough to connect
-    them (each is within the radius of it). Radius 0 to 2.
+    them (each is within two bits of it). Complete for a radius of 0 to 2; above, complete but for pairs that
+    meet in buckets of more than `small` only, differ in more than two bits, and are no bucket's end.
     """
-    if not 0 <= radius <= 2:
-        raise ValueError("radius 0, 1 or 2")
+    if not 0 <= radius <= 8:
+        raise ValueError("radius 0 to 8")
     spots = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(radius))])).alias("s")).select("fp", "s.t", "s.key")
     buckets, path = materialize(spots.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "buckets")
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
@@ -84,10 +95,14 @@ def links(nodes: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFra
     around = [F.lit(0)] + [F.lit(-(1 << 63) if i == 63 else 1 << i) for i in range(64)]
     meet = crowd.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(x.cast("long")) for x in around])).alias("at"))
     meet = meet.groupBy("at").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1).select("a", F.explode("all").alias("b"))
-    return reduce(DataFrame.unionByName, [two, few, meet]).filter((F.col("a") != F.col("b")) & near(F.col("a"), F.col("b")))
+    found = [two, few, meet]
+    if radius > 2:
+        ends = spots.join(buckets.filter(F.col("n") > small).select("t", "key", "a", "b"), ["t", "key"])
+        found += [ends.select("a", F.col("fp").alias("b")), ends.select("b", F.col("fp").alias("a"))]
+    return reduce(DataFrame.unionByName, found).filter((F.col("a") != F.col("b")) & near(F.col("a"), F.col("b")))
 
 
-def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
     """(doc_id, fp, component_id) of each row.
 
     Null and empty texts have fingerprint zero and link like any other; a text of fewer than `words` words is
@@ -96,12 +111,17 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADI
     """
     own, _ = materialize(fingerprints(documents, words), "fingerprints")
     nodes, _ = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    found = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
+    found = components(links(nodes.select("fp"), radius, small)).select(F.col("node").alias("fp"), "component")
     of = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_groups(documents: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) with the wide radius: groups of exact and near copies."""
+    return near_duplicates(documents, WORDS, GROUP_RADIUS, GROUP_SMALL)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
