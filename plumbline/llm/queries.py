@@ -4,7 +4,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this subpackage that register a query: each has NAME, query() and perhaps ORACLE_SQL.
-MODULES = ("ann", "bpe", "chat_format", "decontaminate", "html_extract", "line_dedup", "quality", "simhash", "url_filter")
+MODULES = ("ann", "bpe", "chat_format", "decontaminate", "html_extract", "license_scan", "line_dedup", "quality", "simhash", "url_filter")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
