@@ -139,7 +139,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=(), url: str = "url",
     ignored. The five output names replace columns of the same name.
     """
     host, path = host_and_path(F.col(url))
-    parsed = pages.withColumns({"host": host, "path": path})
+    parsed = pages.drop(*[c for c in ("host", "path", "rule", "listed", "verdict") if c != url]).withColumns({"host": host, "path": path})
     wanted = listed.select(F.col(listed.columns[0]).alias("key")).filter("key is not null").distinct()
     universe, stored = materialize(parsed.select("host").distinct().select(F.explode(host_keys(F.col("host"))).alias("key")).distinct(), "url-keys")
     cascade, paths = build_cascade(universe, wanted, max_bits)
