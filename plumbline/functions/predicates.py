@@ -88,14 +88,18 @@ def worst_quality(quality: Column) -> Column:
     return F.max_by(quality, rank)
 
 
-def classify_path(path: Column, generated: list[str], entrypoints: list[str]) -> Column:
+def classify_path(path: Column, generated: list[str]) -> Column:
     """The first class that fits: generated, test, entrypoint, facade, auxiliary, implementation."""
     name = F.element_at(F.split(path, "/"), -1)
     roots = F.lit(False)
     for r in generated:
         roots = roots | under_root(path, F.lit(r))
-    is_test = path.rlike(r"(^|/)tests?/") | name.endswith("_test.rs")
-    return F.when(roots, "generated").when(is_test, "test").when(path.isin(entrypoints), "entrypoint").when(name.isin("mod.rs", "lib.rs"), "facade").when(path.rlike(r"(^|/)(benches|examples)/") | (name == "build.rs"), "auxiliary").otherwise("implementation")
+    is_test = path.rlike("(^|/)tests/") | name.rlike("^tests[.]rs$|_tests?[.]rs$")
+    ladder = ((roots, "generated"), (is_test, "test"), (name == "main.rs", "entrypoint"), (name.isin("lib.rs", "mod.rs"), "facade"), (path.rlike("(^|/)examples/|(^|/)src/bin/"), "auxiliary"))
+    out = F.lit("implementation")
+    for fits, cls in reversed(ladder):
+        out = F.when(fits, cls).otherwise(out)
+    return out
 
 
 def fingerprint(id_: Column, rule: Column, path: Column, message: Column, span: list[Column] | None = None) -> Column:
@@ -107,3 +111,14 @@ def fingerprint(id_: Column, rule: Column, path: Column, message: Column, span:
         return F.sha2(F.concat(*parts), 256)
     numbers = F.concat(*[F.concat(*[F.substring(F.lpad(F.hex(n), 16, "0"), 15 - 2 * i, 2) for i in range(8)]) for n in span])
     return F.sha2(F.concat(*parts, F.coalesce(F.unhex(numbers), F.unhex(F.lit("")))), 256)
+
+
+def framed_digest(frames: Column) -> Column:
+    """SHA-256 over an ordered array of (label, value) structs, each framed by its lengths in bytes: `n:label`, a
+    zero byte, `n:value`, a 255 byte."""
+
+    def frame(f: Column) -> Column:
+        sized = lambda x: F.hex(F.encode(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), "UTF-8"))
+        return F.concat(sized(f["label"]), F.lit("00"), sized(f["value"]), F.lit("FF"))
+
+    return F.sha2(F.unhex(F.array_join(F.transform(frames, frame), "")), 256)
