@@ -25,10 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from plumbline.llm.common import table
 
 NAME = "op5_bpe"
-CACHE, WORDS_AT_ONCE, CHARS_AT_ONCE, TOKENS_AT_ONCE, LONG = 300_000, 40_000, 2_000_000, 200_000, 48
+CACHE, WORDS_AT_ONCE, CHARS_AT_ONCE, TOKENS_AT_ONCE, LONG = 150_000, 10_000, 1_000_000, 200_000, 48
 
 #: The rounds that one recursive query makes; the words that still have pairs then go into the next query.
 ROUNDS = 64
+ROWS_AT_ONCE = 1000
 
 _CONTRACT = f"""
 WITH RECURSIVE s(w, toks, step) AS (
@@ -52,13 +53,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def pieces(text: str) -> list[str] | None:
     """Cuts of a text at places where no match of the pattern can cross: before single spaces. None if it has
     white space where a cut could change a match."""
-    if _ODD(text):
+    if "\0" in text or _ODD(text):
         return None
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    return text.replace(" ", "\0 ").split("\0")
 
 
-_ODD = re.compile(r"\s (?:\s|\Z)|^ (?:\s|\Z)").search
+_ODD = re.compile(r" (?=\s|\Z)(?<=\s\s)|^ (?=\s|\Z)").search
 
 
 class Codec:
@@ -69,7 +69,7 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         pair, rank = [], []
         for token, r in ranks.items():
             for i in range(1, len(token)):
@@ -81,6 +81,8 @@ class Codec:
         least = np.full(max(ranks.values()) + 1, np.iinfo(np.int32).max)  # of the pairs that hold a token
         np.minimum.at(least, pair >> 16, rank)
         np.minimum.at(least, pair & 65535, rank)
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
         self._load("merges", {"pair": pair, "rank": rank, "calm": least[rank] > rank})
         self._load("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})
 
@@ -89,46 +91,36 @@ class Codec:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM loaded")
         self.con.unregister("loaded")
 
-    def _contract(self, lists: list[np.ndarray]) -> list[np.ndarray]:
-        """Token lists with every pair contracted."""
-        todo, out = list(range(len(lists))), list(lists)
-        while todo:
-            ends = np.cumsum([0, *[len(out[i]) for i in todo]]).astype(np.int32)
-            flat = np.concatenate([out[i] for i in todo])
-            self.con.register("start", pa.table({"w": pa.array(np.arange(len(todo), dtype=np.int32)), "toks": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}))
-            got = self.con.execute(_CONTRACT).to_arrow_table().combine_chunks()
-            at, values = got["toks"].combine_chunks().offsets.to_numpy(), got["toks"].combine_chunks().values.to_numpy()
-            again = []
-            for k, (w, steps) in enumerate(zip(got["w"].to_pylist(), got["steps"].to_pylist())):
-                out[todo[w]] = values[at[k] : at[k + 1]]
-                if steps >= ROUNDS:
-                    again.append(todo[w])
-            todo = again
+    def _contract(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of words, with every pair contracted."""
+        flat = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
+        numbers, out = np.arange(len(words), dtype=np.int32), [b""] * len(words)
+        while len(numbers):
+            start = pa.table({"w": numbers, "toks": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})  # noqa: F841  which the query reads
+            got = self.con.sql(_CONTRACT).to_arrow_table()
+            w, steps, lists = got["w"].to_numpy(), got["steps"].to_numpy(), got["toks"].combine_chunks()
+            offsets, packed = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4").tobytes()
+            for i, x, y in zip(w.tolist(), (4 * offsets[:-1]).tolist(), (4 * offsets[1:]).tolist()):
+                out[i] = packed[x:y]
+            again = steps >= ROUNDS
+            numbers = w[again]
+            flat = np.frombuffer(b"".join([out[i] for i in numbers]), "<u4").astype(np.int32)
+            ends = np.cumsum([0, *[len(out[i]) // 4 for i in numbers]], dtype=np.int32)
         return out
 
     def encode_words(self, words: list[str]) -> None:
         """Remembers the packed ids of words."""
-        todo, size = [], 0
-        for word in words:
-            raw = word.encode("utf-8", "surrogatepass")
-            own = self.ranks.get(raw)
-            if own is not None:
-                self.words[word] = own.to_bytes(4, "little")
-                continue
-            todo.append((word, self.bytes[np.frombuffer(raw, np.uint8)]))
-            size += len(raw)
-            if len(todo) >= WORDS_AT_ONCE or size > 20 * WORDS_AT_ONCE:
-                self._encode(todo)
-                todo, size = [], 0
-        self._encode(todo)
-
-    def _encode(self, todo: list[tuple[str, np.ndarray]]) -> None:
-        short, long = [x for x in todo if len(x[1]) <= LONG], [x for x in todo if len(x[1]) > LONG]
-        if short:
-            for (word, _), ids in zip(short, self._contract([x[1] for x in short])):
-                self.words[word] = ids.astype("<u4").tobytes()
-        for word, tokens in long:
-            self.words[word] = self._long(tokens).astype("<u4").tobytes()
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        own = list(map(self.ranks.get, raw))
+        self.words.update((w, r.to_bytes(4, "little")) for w, r in zip(words, own) if r is not None)
+        todo = [i for i, r in enumerate(own) if r is None and len(raw[i]) <= LONG]
+        for k in range(0, len(todo), WORDS_AT_ONCE):
+            part = todo[k : k + WORDS_AT_ONCE]
+            self.words.update(zip([words[i] for i in part], self._contract([raw[i] for i in part])))
+        for i, r in enumerate(own):
+            if r is None and len(raw[i]) > LONG:
+                self.words[words[i]] = self._long(self.bytes[np.frombuffer(raw[i], np.uint8)]).astype("<u4").tobytes()
 
     def _long(self, tokens: np.ndarray) -> np.ndarray:
         """A word of many tokens: each round contracts all occurrences of the least pair, or the leftmost one."""
@@ -141,7 +133,7 @@ least AS (SELECT * FROM pairs WHERE rank = (SELECT min(rank) FROM pairs)),
 runs AS (SELECT *, pos - row_number() OVER (ORDER BY pos) AS run FROM least),
 apart AS (SELECT pos, rank FROM (SELECT *, pos - min(pos) OVER (PARTITION BY run) AS step FROM runs) WHERE step % 2 = 0 AND (calm OR pos = (SELECT min(pos) FROM least)))
 SELECT * FROM apart""")
-            if not self.con.execute("SELECT count(*) FROM picked").fetchone()[0]:
+            if not self.con.execute("SELECT count(*) FROM picked").fetchall()[0][0]:
                 return self.con.execute("SELECT tok FROM word ORDER BY pos").to_arrow_table()["tok"].combine_chunks().to_numpy()
             self.con.execute("""
 CREATE OR REPLACE TABLE word AS
@@ -157,7 +149,7 @@ FROM word t LEFT JOIN picked c ON c.pos = t.pos ANTI JOIN picked d ON d.pos = t.
                 size += len(texts[j] or "")
                 j += 1
             cut = [pieces(t or "") for t in texts[i:j]]
-            if len(self.chunks) > CACHE:
+            if len(self.chunks) > 2 * CACHE:
                 self.chunks.clear()
             if len(self.words) > CACHE:
                 self.words.clear()
@@ -166,9 +158,9 @@ FROM word t LEFT JOIN picked c ON c.pos = t.pos ANTI JOIN picked d ON d.pos = t.
             unknown = set().union(*fresh.values(), *[w for w in whole if w is not None]).difference(self.words)
             self.encode_words(sorted(unknown))
             for p, words in fresh.items():
-                self.chunks[p] = b"".join([self.words[w] for w in words])
+                self.chunks[p] = self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
             for c, w in zip(cut, whole):
-                out.append(b"".join([self.words[x] for x in w] if c is None else [self.chunks[x] for x in c]))
+                out.append(b"".join(map(self.words.__getitem__, w) if c is None else map(self.chunks.__getitem__, c)))
             i = j
         return out
 
@@ -185,11 +177,12 @@ FROM word t LEFT JOIN picked c ON c.pos = t.pos ANTI JOIN picked d ON d.pos = t.
                 size += len(parts[j][1])
                 j += 1
             flat = np.concatenate([ids for _, ids in parts[i:j]])
-            part = np.repeat(np.arange(i, j, dtype=np.int32), [len(ids) for _, ids in parts[i:j]])
-            self.con.register("tokens", pa.table({"part": part, "pos": np.arange(size, dtype=np.int32), "id": flat}))
-            got = self.con.execute("SELECT part, unhex(string_agg(hex, '' ORDER BY pos)) FROM tokens JOIN vocabulary USING (id) GROUP BY part ORDER BY part").fetchall()
-            for k, raw in got:
-                out[parts[k][0]].append(raw)
+            self.con.register("tokens", pa.table({"pos": np.arange(size, dtype=np.int32), "id": flat}))
+            raw = self.con.execute("SELECT unhex(string_agg(hex, '' ORDER BY pos)) FROM tokens JOIN vocabulary USING (id)").fetchall()[0][0] or b""
+            lengths = np.where((flat >= 0) & (flat < len(self.sizes)), self.sizes[np.clip(flat, 0, len(self.sizes) - 1)], 0)
+            ends = np.cumsum(lengths)[np.cumsum([len(ids) for _, ids in parts[i:j]]) - 1]
+            for (row, _), x, y in zip(parts[i:j], [0, *ends[:-1].tolist()], ends.tolist()):
+                out[row].append(raw[x:y])
             i = j
         return [b"".join(x) for x in out]
 
@@ -205,6 +198,13 @@ def _codec(shared) -> Codec:
     return _CODECS[shared.value["key"]]
 
 
+def forget() -> None:
+    """Ends a task: the worker stays, and what it remembers of words would stay with it."""
+    for codec in _CODECS.values():
+        codec.words.clear()
+        codec.chunks.clear()
+
+
 def _share(spark: SparkSession, vocabulary: str):
     ranks = read_ranks(vocabulary)
     return spark.sparkContext.broadcast({"key": hash(frozenset(ranks.items())), "ranks": ranks})
@@ -216,8 +216,11 @@ def _add(df: DataFrame, names: list[str], run) -> DataFrame:
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = run(batch)
-            yield pa.RecordBatch.from_arrays([*[batch[n] for n in kept_names], *[pa.array(x, pa.binary()) for x in new]], [*kept_names, *names])
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
+                new = run(part)
+                yield pa.RecordBatch.from_arrays([*[part[n] for n in kept_names], *[pa.array(x, pa.binary()) for x in new]], [*kept_names, *names])
+        forget()
 
     kept_names = kept.columns
     return df.select(*kept_names).mapInArrow(over, schema)

@@ -37,8 +37,14 @@ def test_long_words(word):
 def test_long_contraction_equals_the_recursive_one():
     rng = random.Random(4)
     words = ["".join(rng.choice("aeiourstn") for _ in range(rng.randrange(2, 40))).encode() for _ in range(300)]
-    lists = [CODEC.bytes[np.frombuffer(w, np.uint8)] for w in words]
-    assert [x.tolist() for x in CODEC._contract(lists)] == [CODEC._long(x).tolist() for x in lists]
+    assert [ids(x) for x in CODEC._contract(words)] == [CODEC._long(CODEC.bytes[np.frombuffer(w, np.uint8)]).tolist() for w in words]
+
+
+def test_decode_in_parts(monkeypatch):
+    monkeypatch.setattr(m, "TOKENS_AT_ONCE", 7)
+    texts = ["", "a longer text of more tokens than seven, in parts", "b", None, "é日本"]
+    assert CODEC.decode(CODEC.encode(texts)) == [(t or "").encode() for t in texts]
+    assert CODEC.decode([None, np.array([60000, RANKS[b"a"]], "<u4").tobytes()]) == [b"", b"a"]
 
 
 def test_tables(spark):
