@@ -16,6 +16,7 @@ are the query set; they are shared in blocks of bounded size, a pass for each bl
 """
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,11 +28,12 @@ from plumbline.llm.common import table
 
 NAME = "op7_decontaminate"
 MAX_EDITS, MIN_WORDS, REPEATS, TABLES, SAMPLED = 0.2, 5, 8, 16, 2
-BLOCK_WORDS, PAIR_BITS, WORDS_AT_ONCE, CACHE = 500_000, 22, 1_500_000, 400_000
+BLOCK_WORDS, PAIR_BITS, WORDS_AT_ONCE, CACHE = 500_000, 22, 1_000_000, 300_000
 
 
 def normal(token: str) -> str:
     """A token's letters and digits and what is between them, lower-cased."""
+    token = token.strip(string.punctuation)  # the usual case, at once
     i, j = 0, len(token)
     while i < j and not token[i].isalnum():
         i += 1
@@ -174,22 +176,22 @@ class Index:
         return [(doc, k, edits, end) for (doc, k), (edits, end) in sorted(best.items())]
 
     def _verify(self, n, d, live, ids, starts, best) -> None:
-        padded = np.concatenate([ids, np.zeros(n, np.int64)])
-        windows = padded[live[:, None] + np.arange(n)]
+        padded = np.concatenate([ids, np.zeros(n + 5 * d + 2, np.int64)])
         owner = np.searchsorted(starts, live, "right") - 1
-        windows[live[:, None] + np.arange(n) >= starts[owner + 1][:, None] - 1] = 0  # not into the next document
-        found = self.candidates(n, windows)
-        if not found:
-            return
-        rows, items = (np.array(x) for x in zip(*found))
-        lo, hi = np.maximum(starts[owner[rows]], live[rows] - 2 * d - 1), np.minimum(starts[owner[rows] + 1] - 1, live[rows] + n + 3 * d + 1)
+        lo, hi = np.maximum(starts[owner], live - 2 * d - 1), np.minimum(starts[owner + 1] - 1, live + n + 3 * d + 1)
         near = lo[:, None] + np.arange(n + 5 * d + 2)
-        near = np.where(near < hi[:, None], np.concatenate([ids, np.zeros(n + 5 * d + 2, np.int64)])[near], 0)
-        shared = (self.own[self.pair(np.broadcast_to(items[:, None], near.shape), near)] & (near > 0)).sum(1)
+        near = np.where(near < hi[:, None], padded[near], 0)
+        own = {k: ((near > 0) & self.own[self.pair(np.full(1, k), near)]).sum(1) >= n - d for k in self.by_length[n]}  # enough of an item's words
+        some = np.flatnonzero(reduce(np.logical_or, own.values()))
+        if not len(some):
+            return
+        live, owner, lo, hi = live[some], owner[some], lo[some], hi[some]
+        windows = padded[live[:, None] + np.arange(n)]
+        windows[live[:, None] + np.arange(n) >= starts[owner + 1][:, None] - 1] = 0  # not into the next document
         done = set()
-        for r, k, a, b, c in zip(rows.tolist(), items.tolist(), lo.tolist(), hi.tolist(), shared.tolist()):
-            doc = int(owner[r])
-            if c < n - d or (doc, k, a // (d + 1)) in done:  # too few of its words here, or looked at from nearby
+        for r, k in self.candidates(n, windows):
+            doc, a, b = int(owner[r]), int(lo[r]), int(hi[r])
+            if not own[k][some[r]] or (doc, k, a // (d + 1)) in done:  # or looked at from nearby
                 continue
             done.add((doc, k, a // (d + 1)))
             edits, end = fit_distance(self.items[k][1], ids[a:b])
