@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, decontaminate, line_dedup, quality, simhash
+from plumbline.llm import bpe, decontaminate, line_dedup, near_copies, quality
 from plumbline.llm.common import discard, materialize, table
 
 #: SQL for run()'s rows: none, as a trained classifier and edit distances can't be expressed in it.
@@ -39,8 +39,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id (see `simhash.near_groups`)."""
-    return without(docs, simhash.near_groups(docs).filter("doc_id <> component_id").select("doc_id"))
+    """One document of each group of near-duplicates: that of the smallest doc_id (see `near_copies`)."""
+    return without(docs, near_copies.near_copies(docs).filter("doc_id <> component_id").select("doc_id"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
