@@ -68,3 +68,8 @@ def test_repeats_nulls_extra_columns(spark):
     df = spark.createDataFrame([(3, None, 1), (2, "", 2), (2, "", 2), (None, "a b c d", 3), (9, "A b c  d", 4)], "doc_id long, text string, fp int")
     assert sorted(((r.doc_id or -1), r.component_id) for r in m.near_copies(df).collect()) == [(-1, 9), (2, 2), (2, 2), (3, 2), (9, 9)]
     assert m.near_copies(df.limit(0)).collect() == []
+
+
+def test_chance_links_keep_their_documents(spark):
+    docs = common.table(spark, D, "documents").filter("doc_id in (4699, 8575, 1700, 9388)")
+    assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, docs, D).collect()) == [1700, 4699, 8575, 9388]
