@@ -9,9 +9,8 @@ larger one, each fingerprint instead goes to the points around it, its 64 one-bi
 any two fingerprints within two bits share. Such a meeting holds 65 at most, so no group of any size comes
 together in one task, and no pairs are enumerated. That is exact for a radius of up to 2, the contract's.
 
-`near_groups`, for dropping near copies, uses a wider radius (an edited copy of a few hundred words differs in
-more than two bits). There a crowd links by these meetings and, further out, to the least and the greatest
-fingerprint of each of its buckets, of which there are 2^(radius+1)-1 for each fingerprint.
+A wider radius (`near_groups`) has no such meetings: there a large bucket is dealt into blocks of about BLOCK, and each
+two blocks are compared by a task of their own. That is exact too, and takes the square of the bucket in comparisons.
 """
 from __future__ import annotations
 
@@ -29,6 +28,7 @@ from plumbline.llm.components import components
 NAME = "op9_simhash"
 WORDS, RADIUS, SEED, SMALL = 3, 2, 42, 8
 GROUP_RADIUS, GROUP_SMALL = 6, 32
+BLOCK = 512
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -79,9 +79,8 @@ def masks(radius: int, bits: int = 64) -> list[int]:
 def links(nodes: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
     """(a, b): links between distinct fingerprints of nodes(fp) that connect all within the radius, and no others.
 
-    Pairs may repeat; around a crowded point, all are linked to the smallest there, which is enough to connect
-    them (each is within two bits of it). Complete for a radius of 0 to 2; above, complete but for pairs that
-    meet in buckets of more than `small` only, differ in more than two bits, and are no bucket's end.
+    Pairs may repeat; up to a radius of 2, all around a crowded point are linked to the smallest there, which is
+    enough to connect them (each is within two bits of it); above, every pair is linked.
     """
     if not 0 <= radius <= 8:
         raise ValueError("radius 0 to 8")
@@ -91,14 +90,17 @@ def links(nodes: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFra
     two = buckets.filter("n = 2").select("a", "b")
     few = spots.join(buckets.filter((F.col("n") > 2) & (F.col("n") <= small)).select("t", "key"), ["t", "key"]).groupBy("t", "key").agg(F.array_sort(F.collect_list("fp")).alias("all"))
     few = few.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda y: (y > F.col("a")) & near(F.col("a"), y))).alias("b"))
-    crowd = spots.join(buckets.filter(F.col("n") > small).select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct()
-    around = [F.lit(0)] + [F.lit(-(1 << 63) if i == 63 else 1 << i) for i in range(64)]
-    meet = crowd.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(x.cast("long")) for x in around])).alias("at"))
-    meet = meet.groupBy("at").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1).select("a", F.explode("all").alias("b"))
-    found = [two, few, meet]
+    found = [two, few]
     if radius > 2:
-        ends = spots.join(buckets.filter(F.col("n") > small).select("t", "key", "a", "b"), ["t", "key"])
-        found += [ends.select("a", F.col("fp").alias("b")), ends.select("b", F.col("fp").alias("a"))]
+        crowd = spots.join(buckets.filter(F.col("n") > small).select("t", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")), ["t", "key"]).withColumn("i", F.pmod(F.xxhash64("fp"), "blocks"))
+        turn = crowd.select("t", "key", F.col("fp").alias("a"), "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+        met = crowd.select("t", "key", F.col("fp").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), "i")).alias("i"), F.col("i").alias("j"))
+        found.append(turn.join(met, ["t", "key", "i", "j"]).filter(((F.col("a") < F.col("b")) | (F.col("i") < F.col("j"))) & near(F.col("a"), F.col("b"))).select("a", "b"))
+    else:
+        crowd = spots.join(buckets.filter(F.col("n") > small).select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct()
+        around = [F.lit(0)] + [F.lit(-(1 << 63) if i == 63 else 1 << i) for i in range(64)]
+        meet = crowd.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(x.cast("long")) for x in around])).alias("at"))
+        found.append(meet.groupBy("at").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1).select("a", F.explode("all").alias("b")))
     return reduce(DataFrame.unionByName, found).filter((F.col("a") != F.col("b")) & near(F.col("a"), F.col("b")))
 
 
