@@ -1,12 +1,13 @@
 """Groups of near copies: texts connected by pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 The join is exact. Under any one order of all shingles, two sets of that similarity share one of the first
-n - ceil(0.8 n) + 1 shingles of each, so only these are brought together, and each pair that meets is compared by its
-whole sets. Frequent shingles come last in the order, which keeps the meetings small; frequencies are those of a
-sample, and decide how many pairs meet but not which are found.
+n - ceil(0.8 n) + 1 shingles of each, so only these prefixes are brought together. What two texts share beyond their
+prefixes is at most what one of them has left, so a pair must share a number of prefix shingles (`_enough`); pairs
+that do are compared by their whole sets. Frequent shingles come last in the order, which keeps the meetings small;
+frequencies are those of a sample, and decide how many pairs meet but not which are found.
 
-Pairs of a large meeting aren't all enumerated: each text is first compared with the one before it and with the
-first of its meeting; then only texts of different groups are compared. Texts and shingles are told apart by 64-bit
+Pairs of a large meeting aren't all enumerated: each text is first paired with the one before it and with the
+first of its meeting; then only texts of different groups are paired. Texts and shingles are told apart by 64-bit
 hashes.
 """
 from __future__ import annotations
@@ -23,6 +24,7 @@ from plumbline.llm.components import components
 
 WORDS, SEED = 5, 42
 SAMPLE, LISTED = 10_000, 300_000  # texts whose shingles are counted for the order; frequent shingles it lists
+MAX_IDS = 4_000_000  # ids travel to the texts up to this many; beyond it they meet in a join
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -74,16 +76,28 @@ def _order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _enough(pairs: DataFrame) -> DataFrame:
+    """The pairs(a, b) of rows (a, b, lo, hi), a row for each prefix shingle they share, that may reach 0.8; lo and hi are their sizes.
+
+    They must share ceil(4 (lo + hi) / 9), of which at most ceil(0.8 hi) - 1 lie outside the prefixes.
+    """
+    return pairs.groupBy("a", "b", "lo", "hi").agg(F.count("*").alias("k")).filter("k >= (4 * (lo + hi) + 8) div 9 - ((4 * hi + 4) div 5 - 1)").select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs(a, b) whose whole sets have a Jaccard similarity of 0.8 or more: 9 shared >= 4 (n + m)."""
+    members, _ = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "copies-members")
+    few = members.count() <= MAX_IDS
+    own = texts.join(F.broadcast(members) if few else members, "id", "left_semi").dropDuplicates(["id"])
+    sets, _ = materialize(_sets(own), "copies-sets")
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("h_a"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("h_b"))
     both = pairs.join(one, "a").join(two, "b")
     return both.filter(9 * F.size(F.array_intersect("h_a", "h_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _pair(x: str, y: str, n: str, m: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.least(n, m).cast("long").alias("lo"), F.greatest(n, m).cast("long").alias("hi")]
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
@@ -98,21 +112,18 @@ def near_copies(documents: DataFrame) -> DataFrame:
     row = Window.partitionBy("h").orderBy("n", "id")
     spots = spots.select("h", "id", "n", F.lag("id").over(row).alias("p"), F.lag("n").over(row).alias("p_n"), F.lead("id").over(row).alias("q"), F.first("id").over(row).alias("f"), F.first("n").over(row).alias("f_n"))
     met, met_path = materialize(spots.filter("p is not null or q is not null").drop("q"), "copies-met")
-    members = met.select("id").distinct()
-    wanted = texts.join(members, "id", "left_semi").dropDuplicates(["id"])
-    sets, _ = materialize(_sets(wanted), "copies-sets")
-    first = met.filter("p is not null and 5L * p_n >= 4L * n").select(*_pair("p", "id")).unionByName(met.filter("f <> id and 5L * f_n >= 4L * n").select(*_pair("f", "id"))).distinct()
-    tried, tried_path = materialize(first, "copies-tried")
-    found, found_path = materialize(_verified(tried, sets), "copies-links")
+    beside = met.filter("p is not null").select(*_pair("p", "id", "p_n", "n")).unionByName(met.filter("f <> id and f <> p").select(*_pair("f", "id", "f_n", "n")))
+    tried, tried_path = materialize(_enough(beside.filter("5 * lo >= 4 * hi")), "copies-tried")
+    found, found_path = materialize(_verified(tried, texts), "copies-links")
     group = components(found).select(F.col("node").alias("id"), F.col("component").alias("g"))
     rest = met.select("h", "id", "n").join(group, "id", "left").select("h", "id", "n", F.coalesce("g", "id").alias("g"))
     mixed = rest.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("h")
     rest, rest_path = materialize(rest.join(mixed, "h", "left_semi"), "copies-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.g") != F.col("y.g")) & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")))
-    more = apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links, _ = materialize(found.unionByName(_verified(more, sets)), "copies-all-links")
+    x, y = (rest.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "g")]) for side in "xy")
+    apart = x.join(y, "h").filter("id_x < id_y and g_x <> g_y").select(*_pair("id_x", "id_y", "n_x", "n_y")).filter("5 * lo >= 4 * hi")
+    more, more_path = materialize(_enough(apart).join(tried, ["a", "b"], "left_anti"), "copies-more")
+    links, _ = materialize(found.unionByName(_verified(more, texts)), "copies-all-links")
     named = components(links).select(F.col("node").alias("id"), "component")
-    discard(spark, firsts_path, met_path, tried_path, found_path, rest_path)
+    discard(spark, firsts_path, met_path, tried_path, found_path, rest_path, more_path)
     of = texts.select("doc_id", "id").join(named, "id", "left").select("doc_id", "id", F.coalesce("component", "id").alias("component"))
     return of.join(of.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "id", "component_id")
