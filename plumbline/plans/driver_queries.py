@@ -171,6 +171,21 @@ def ratchet(spark: SparkSession, d: str) -> DataFrame:
     return R.ratchet(measured, targets, locked, ["supplier"])
 
 
+@register("ratchet_lines", """
+WITH m AS (SELECT l_suppkey AS supplier, count(*)::BIGINT AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+t AS (SELECT s_suppkey AS supplier, 100::BIGINT AS target FROM supplier WHERE s_acctbal > 0), k AS (SELECT l_suppkey AS supplier, count(*)::BIGINT AS locked FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+j AS (SELECT coalesce(m.supplier, t.supplier) AS supplier, coalesce(value, 0) AS value, target FROM m FULL JOIN t ON m.supplier = t.supplier)
+SELECT j.supplier, value, target, locked, CASE WHEN target IS NULL THEN CASE WHEN value > 0 THEN 'unratcheted' ELSE 'none' END WHEN value = 0 THEN 'stale' WHEN locked IS NULL THEN 'missing' WHEN value > locked THEN 'grew' WHEN value < locked THEN 'shrank' ELSE 'held' END AS finding
+FROM j LEFT JOIN k ON j.supplier = k.supplier
+""")
+def ratchet_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of returned lines against those of accepted ones, all suppliers of the table."""
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), "l_returnflag")
+    measured, locked = (lines.filter(F.col("l_returnflag") == flag).groupBy("supplier").agg(F.count("*").alias(name)) for flag, name in (("R", "value"), ("A", "locked")))
+    targets = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("supplier"), F.lit(100).cast("long").alias("target"))
+    return R.ratchet(measured, targets, locked, ["supplier"])
+
+
 @register("budgets", """
 WITH b(lang, target, hard) AS (VALUES ('en', 2000, 8000), ('fr', 1500, 5000), ('de', 1000, 3000))
 SELECT doc_id, d.lang, n_chars, CASE WHEN target IS NULL THEN 'ungoverned' WHEN n_chars > hard THEN 'over hard' WHEN n_chars > target THEN 'over target' ELSE 'within' END AS finding FROM documents d LEFT JOIN b ON d.lang = b.lang
@@ -319,6 +334,38 @@ def fixpoint(spark: SparkSession, d: str) -> DataFrame:
     return G.fixpoint(literal(spark, [(3,)], "node int"), lambda new: new.join(edges, new.node == edges.src).select(F.col("dst").alias("node")))
 
 
+_SPEAK = "SELECT DISTINCT a.conv_id || ':' || a.role AS src, b.conv_id || ':' || b.role AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+_FIRST = "SELECT DISTINCT conv_id || ':' || role AS node FROM conversations WHERE turn = 0"
+
+
+def _speak(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A graph of each conversation's speakers, an edge where one answers another, and who speaks first; all conversations."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(":", F.col("conv_id").cast("string"), "role").alias("node"))
+    answers = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("node").alias("dst"))
+    edges = turns.withColumnRenamed("node", "src").join(answers, ["conv_id", "turn"]).select("src", "dst").distinct()
+    return edges, turns.filter("turn = 0").select("node").distinct()
+
+
+@register("speaker_path", f"WITH RECURSIVE e AS ({_SPEAK}), b(node, depth) AS (SELECT node, 0 FROM ({_FIRST}) UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON b.node = e.src WHERE b.depth < 25) SELECT node, min(depth)::INT AS depth FROM b GROUP BY 1")
+def speaker_path(spark: SparkSession, d: str) -> DataFrame:
+    """Depths of shortest paths from who speaks first in each conversation (G1)."""
+    edges, first = _speak(spark, d)
+    return G.shortest_paths(edges.withColumn("ord", F.col("dst")), first).select("node", "depth")
+
+
+@register("speaker_cycles", f"WITH RECURSIVE e AS ({_SPEAK}), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT a.src AS node, min(least(a.src, a.dst)) AS component FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY 1")
+def speaker_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Speakers who answer each other, with their component's least."""
+    return G.cycles(_speak(spark, d)[0])
+
+
+@register("speaker_reach", f"WITH RECURSIVE e AS ({_SPEAK}), f(node) AS (SELECT node FROM ({_FIRST}) UNION SELECT e.dst FROM f JOIN e ON f.node = e.src) SELECT node FROM f")
+def speaker_reach(spark: SparkSession, d: str) -> DataFrame:
+    """The least set that holds who speaks first and is closed under answers."""
+    edges, first = _speak(spark, d)
+    return G.fixpoint(first, lambda new: new.join(edges, new.node == edges.src).select(F.col("dst").alias("node")))
+
+
 @register("suggest", """
 WITH w(wanted) AS (VALUES ('smal rings'), ('red widgets'), ('blue bolt')), p AS (SELECT DISTINCT p_name AS candidate FROM part),
 s AS (SELECT wanted, candidate, levenshtein(candidate, wanted) AS score FROM p, w), k AS (SELECT * FROM s WHERE score <= least(greatest(length(wanted) // 3, 2), 12))
