@@ -35,7 +35,7 @@ _CORE = re.compile(r"^\W+|\W+$")
 
 def shape(token: str) -> str:
     """Letters as A or a, digits as 9, runs of these as one; other characters as they are, runs cut to three."""
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token[:64])
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token)
     return _PUNCT.sub(r"\1\1\1", re.sub(r"A+", "A", re.sub(r"a+", "a", re.sub(r"9+", "9", out))))
 
 
