@@ -2,9 +2,12 @@
 
 Texts are cut into the pattern's matches; each distinct match that isn't itself a token is contracted in a
 recursive query: token-position rows join the merge table, the leftmost pair of least rank of each word becomes
-one token, until no pair is left. Words of more than LONG bytes are contracted one by one in a table, by the same
-join; there a round contracts all occurrences of the least pair if no pair that holds the new token ranks below
-it (else the leftmost one), which gives the same ids in as many rounds as there are distinct merges. Decoding joins ids to the vocabulary and aggregates the bytes in order of position.
+one token, until no pair is left. Decoding joins ids to the vocabulary and aggregates the bytes in order of position.
+
+A word of any length is contracted by that query: one of more than CHUNK bytes in chunks, so that a round holds a
+bounded number of positions. A row of tokens is a text's encoding if and only if each two neighbours in it are the
+encoding of their own bytes; so chunks whose meeting tokens are, stand side by side, and elsewhere the tokens
+around the place are contracted anew, a stretch that grows until both its ends fit (`_meet`).
 
 Words met before are remembered, up to a bounded number. Ids are stored packed, as little-endian unsigned 32-bit
 integers (`unpack` gives the array). DuckDB gets one thread, bounded memory and no disk in each worker.
@@ -13,7 +16,8 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Generator, Iterator
 
 import duckdb
 import numpy as np
@@ -22,10 +26,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.llm.common import table
+from plumbline.llm.common import give_back, table
 
 NAME = "op5_bpe"
-CACHE, WORDS_AT_ONCE, CHARS_AT_ONCE, TOKENS_AT_ONCE, LONG = 150_000, 10_000, 1_000_000, 200_000, 48
+CACHE, WORDS_AT_ONCE, CHARS_AT_ONCE, TOKENS_AT_ONCE = 100_000, 10_000, 1_000_000, 200_000
+
+#: Bytes of a long word that are contracted together, and how many of these chunks are at a time.
+CHUNK, CHUNKS_AT_ONCE = 32, 2048
 
 #: The rounds that one recursive query makes; the words that still have pairs then go into the next query.
 ROUNDS = 64
@@ -77,13 +84,11 @@ class Codec:
                 if a is not None and b is not None:
                     pair.append((a << 16) + b)
                     rank.append(r)
-        pair, rank = np.array(pair, np.int64), np.array(rank, np.int32)
-        least = np.full(max(ranks.values()) + 1, np.iinfo(np.int32).max)  # of the pairs that hold a token
-        np.minimum.at(least, pair >> 16, rank)
-        np.minimum.at(least, pair & 65535, rank)
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.sizes[list(ranks.values())] = [len(t) for t in ranks]
-        self._load("merges", {"pair": pair, "rank": rank, "calm": least[rank] > rank})
+        self.tokens = {r: t for t, r in ranks.items()}
+        self.parts: dict[bytes, array] = {}  # chunks and stretches of the long word at hand
+        self._load("merges", {"pair": np.array(pair, np.int64), "rank": np.array(rank, np.int32)})
         self._load("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})
 
     def _load(self, name: str, columns: dict) -> None:
@@ -114,31 +119,74 @@ class Codec:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         own = list(map(self.ranks.get, raw))
         self.words.update((w, r.to_bytes(4, "little")) for w, r in zip(words, own) if r is not None)
-        todo = [i for i, r in enumerate(own) if r is None and len(raw[i]) <= LONG]
+        todo = [i for i, r in enumerate(own) if r is None and len(raw[i]) <= CHUNK]
         for k in range(0, len(todo), WORDS_AT_ONCE):
             part = todo[k : k + WORDS_AT_ONCE]
             self.words.update(zip([words[i] for i in part], self._contract([raw[i] for i in part])))
         for i, r in enumerate(own):
-            if r is None and len(raw[i]) > LONG:
-                self.words[words[i]] = self._long(self.bytes[np.frombuffer(raw[i], np.uint8)]).astype("<u4").tobytes()
-
-    def _long(self, tokens: np.ndarray) -> np.ndarray:
-        """A word of many tokens: each round contracts all occurrences of the least pair, or the leftmost one."""
-        self._load("word", {"pos": np.arange(len(tokens)), "tok": tokens})
+            if r is None and len(raw[i]) > CHUNK:
+                self.words[words[i]] = self._long(raw[i])
+
+    def _learn(self, strings: Iterator[bytes]) -> None:
+        """Contracts those strings that `parts` doesn't have."""
+        new = sorted(set(strings).difference(self.parts))
+        for k in range(0, len(new), WORDS_AT_ONCE):
+            some = new[k : k + WORDS_AT_ONCE]
+            self.parts.update(zip(some, [array("I", x) for x in self._contract(some)]))
+
+    def _meet(self, left: array, right: array) -> Generator[bytes, None, tuple[int, array, int]]:
+        """(i, middle, j): the last i tokens of `left` and the first j of `right` become `middle`.
+
+        Yields each string whose tokens it needs, for the caller to `_learn`.
+        """
+        i = j = 1
         while True:
-            self.con.execute("""
-CREATE OR REPLACE TEMP TABLE picked AS
-WITH pairs AS (SELECT a.pos, m.rank, m.calm FROM word a JOIN word b ON b.pos = a.pos + 1 JOIN merges m ON m.pair = a.tok::BIGINT * 65536 + b.tok),
-least AS (SELECT * FROM pairs WHERE rank = (SELECT min(rank) FROM pairs)),
-runs AS (SELECT *, pos - row_number() OVER (ORDER BY pos) AS run FROM least),
-apart AS (SELECT pos, rank FROM (SELECT *, pos - min(pos) OVER (PARTITION BY run) AS step FROM runs) WHERE step % 2 = 0 AND (calm OR pos = (SELECT min(pos) FROM least)))
-SELECT * FROM apart""")
-            if not self.con.execute("SELECT count(*) FROM picked").fetchall()[0][0]:
-                return self.con.execute("SELECT tok FROM word ORDER BY pos").to_arrow_table()["tok"].combine_chunks().to_numpy()
-            self.con.execute("""
-CREATE OR REPLACE TABLE word AS
-SELECT row_number() OVER (ORDER BY t.pos) - 1 AS pos, coalesce(c.rank, t.tok) AS tok
-FROM word t LEFT JOIN picked c ON c.pos = t.pos ANTI JOIN picked d ON d.pos = t.pos - 1""")
+            stretch = b"".join([self.tokens[t] for t in left[-i:]] + [self.tokens[t] for t in right[:j]])
+            if stretch not in self.parts:
+                yield stretch
+            middle = self.parts[stretch]
+            if middle == left[-i:] + right[:j]:
+                return i, middle, j
+            ends = (left[-i - 1], middle[0]) if i < len(left) else None, (middle[-1], right[j]) if j < len(right) else None
+            bad = []
+            for pair in ends:
+                two = b"".join([self.tokens[t] for t in pair]) if pair else b""
+                if two and two not in self.parts:
+                    yield two
+                bad.append(bool(two) and tuple(self.parts[two]) != pair)
+            if not any(bad):
+                return i, middle, j
+            i, j = min(len(left), 2 * i) if bad[0] else i, min(len(right), 2 * j) if bad[1] else j
+
+    def _long(self, word: bytes) -> bytes:
+        """The packed ids of a word of more than CHUNK bytes."""
+        out, step = array("I"), CHUNK * CHUNKS_AT_ONCE
+        for k in range(0, len(word), step):
+            if len(self.parts) > CACHE // 2:
+                self.parts.clear()
+            block = word[k : k + step]
+            chunks = [block[x : x + CHUNK] for x in range(0, len(block), CHUNK)]
+            self._learn(chunks)
+            own = [self.parts[c] for c in chunks]
+            meetings = {(c, d): self._meet(x, y) for c, d, x, y in zip(chunks, chunks[1:], own, own[1:])}
+            while meetings:  # all meetings of neighbours ask at once, so that a query has many strings
+                asked = {at: next(m, None) for at, m in meetings.items()}
+                self._learn(x for x in asked.values() if x is not None)
+                meetings = {at: m for at, m in meetings.items() if asked[at] is not None}
+            for right in own:  # what neighbours leave of each other may differ from what they were: then some more are asked for
+                if not out:
+                    out.extend(right)
+                    continue
+                meeting = self._meet(out, right)
+                while True:
+                    try:
+                        self._learn([next(meeting)])
+                    except StopIteration as met:
+                        i, middle, j = met.value
+                        break
+                out[-i:] = middle
+                out.extend(right[j:])
+        return np.frombuffer(out, np.uint32).astype("<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each whole text; none for a null or empty one."""
@@ -203,6 +251,8 @@ def forget() -> None:
     for codec in _CODECS.values():
         codec.words.clear()
         codec.chunks.clear()
+        codec.parts.clear()
+    give_back()
 
 
 def _share(spark: SparkSession, vocabulary: str):

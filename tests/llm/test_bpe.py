@@ -1,5 +1,8 @@
+import base64
 import hashlib
 import random
+import string
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -34,10 +37,24 @@ def test_long_words(word):
     assert ids(CODEC.encode([word])[0]) == TIKTOKEN.encode_ordinary(word)
 
 
-def test_long_contraction_equals_the_recursive_one():
-    rng = random.Random(4)
-    words = ["".join(rng.choice("aeiourstn") for _ in range(rng.randrange(2, 40))).encode() for _ in range(300)]
-    assert [ids(x) for x in CODEC._contract(words)] == [CODEC._long(CODEC.bytes[np.frombuffer(w, np.uint8)]).tolist() for w in words]
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(["ab", "zZ", "etaoin", "theing", "=-", "é日"]).flatmap(lambda letters: st.text(letters, min_size=30, max_size=400)))
+def test_words_of_several_chunks(word):
+    assert ids(CODEC.encode([word])[0]) == TIKTOKEN.encode_ordinary(word)
+
+
+def test_blocks_of_chunks_join(monkeypatch):
+    monkeypatch.setattr(m, "CHUNKS_AT_ONCE", 3)
+    for word in ("a" + "z" * 999, "abc" * 500, "".join(random.Random(5).choice("etaoinshr") for _ in range(2000))):
+        assert ids(CODEC.encode([word])[0]) == TIKTOKEN.encode_ordinary(word)
+
+
+@pytest.mark.parametrize("word", ["z" * 10_000_000, "a" + "z" * 3_000_001, "".join(random.Random(6).choice(string.ascii_letters) for _ in range(1_000_000)), base64.b64encode(random.Random(7).randbytes(750_000)).decode()], ids=["run", "shifted run", "letters", "base64"])
+def test_very_long_words_take_a_bounded_time(word):
+    codec, began = m.Codec(RANKS), time.time()
+    got = codec.encode([word])
+    assert time.time() - began < 90
+    assert ids(got[0]) == TIKTOKEN.encode_ordinary(word) and codec.decode(got)[0] == word.encode()
 
 
 def test_decode_in_parts(monkeypatch):
