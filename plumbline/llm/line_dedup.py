@@ -1,14 +1,15 @@
 """Line dedup: lines that many documents share go, but for one document.
 
-One pass hashes each document's distinct line keys to 128 bits; a map-side combined count finds the repeated
-keys. Their hashes are dealt to shards, and each shard becomes a minimal perfect hash (levels of bit arrays
+One pass hashes each document's distinct line keys to 128 bits; counting the distinct (key, document) rows finds
+the repeated keys. Their hashes are dealt to shards, and each shard becomes a minimal perfect hash (levels of bit arrays
 with ranks) that indexes compact arrays: a 64-bit fingerprint, the document count and the largest doc_id. A key
 outside the index is told by its fingerprint (64 bits besides the 64 that place it). A second pass over the
-documents probes the arrays in place: no text is shuffled and no line is joined.
+documents probes the arrays: no text is shuffled and no line is joined.
 
-Skew: a line in a third of all documents is one row per map task after the combine, and a probe doesn't move.
-Size: the index holds repeated lines only and is broadcast only up to `max_index_bytes`; beyond that
-`dedup_lines` joins the line hashes to the counts by a shuffle (exact too, and AQE splits hot keys).
+Size: the shards of the most frequent keys, up to `max_index_bytes`, travel to the tasks and are probed in place.
+Where there are more keys, the line hashes that these don't hold go to the other shards instead, and are probed
+there; what they find goes back by document. Skew: a line in a third of all documents is counted after distinct rows of
+a line and a document, and then probed in place; the keys that travel are the less frequent ones, dealt in blocks of bounded size.
 """
 from __future__ import annotations
 
@@ -21,12 +22,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.llm.common import WHITE, discard, materialize, table
+from plumbline.llm.common import WHITE, bounded, discard, materialize, table
 
 NAME = "op4_line_dedup"
 MIN_CHARS, MIN_DOCS = 40, 5
 KEYS_PER_SHARD, MAX_INDEX_BYTES = 250_000, 64 << 20
-BYTES_PER_KEY = 24  # fingerprint, count and doc_id of 8 bytes each; the hash itself takes under half a byte
+BYTES_PER_KEY = 25  # fingerprint, count and doc_id of 8 bytes each, a mark; the hash itself takes under half a byte
+ROWS_PER_BLOCK = 500_000  # line hashes that are probed together where they travel to a shard
 
 _WHITE = WHITE.encode()
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -89,60 +91,131 @@ class PerfectHash:
 
 
 class Shard:
-    """A perfect hash and the arrays that it indexes."""
+    """A perfect hash and the arrays that it indexes; `orphan` marks keys that only documents without an id hold."""
 
-    def __init__(self, h1, h2, count, keep):
+    def __init__(self, h1, h2, count, keep, orphan):
         self.hash = PerfectHash(h1)
         order = np.empty(len(h1), np.int64)
         order[self.hash.index(h1)] = np.arange(len(h1))
-        self.fingerprint, self.count, self.keep = h2[order], count[order], keep[order]
+        self.fingerprint, self.count, self.keep, self.orphan = h2[order], count[order], keep[order], orphan[order]
 
-    def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The count of each key (0 if not in the index) and the document that keeps its line."""
+    def gone(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, no_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys the index holds, and which of them go from the documents of these ids."""
         at = self.hash.index(h1)
         found = (at >= 0) & (self.fingerprint[at] == h2) if self.hash.n else np.zeros(len(h1), bool)
-        return np.where(found, self.count[at], 0), np.where(found, self.keep[at], 0)
+        if not found.any():
+            return found, found
+        kept = np.where(no_id, self.orphan[at], ~self.orphan[at] & (self.keep[at] == ids))
+        return found, found & (self.count[at] > 0) & ~kept
+
+
+class Index:
+    """Shards by number; a key's shard is told by its second hash."""
+
+    def __init__(self, shards: dict[int, Shard], n: int):
+        self.shards, self.n = shards, n
+
+    def gone(self, h: np.ndarray, ids: np.ndarray, no_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, gone = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        which = h[:, 1] % self.n  # numpy's sign follows the divisor, as pmod's
+        for s, shard in self.shards.items():
+            mine = np.flatnonzero(which == s)
+            found[mine], gone[mine] = shard.gone(h[mine, 0].view(np.uint64), h[mine, 1], ids[mine], no_id[mine])
+        return found, gone
+
+
+def ids_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The doc_ids of an Arrow column, 0 for a null, and which are null."""
+    return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+
+
+def hashed(texts: list, min_chars: int) -> tuple[list, list[int], list[int], np.ndarray]:
+    """The lines of each text; the text's number, the line's and the two hashes of each key that is long enough."""
+    lines, rows, places, hashes = [], [], [], []
+    for r, text in enumerate(texts):
+        own, at, keys = line_keys(text, min_chars)
+        lines.append(own)
+        rows.extend([r] * len(at))
+        places.extend(at)
+        hashes.extend(keys)
+    return lines, rows, places, np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+
+
+def line_hashes(documents: DataFrame, min_chars: int, known=None) -> DataFrame:
+    """(h1, h2, doc_id) of each document's distinct long keys; without those that the index `known` holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            _, rows, _, h = hashed(batch["text"].to_pylist(), min_chars)
+            ids, no_id = ids_of(batch["doc_id"])
+            own = np.array(rows, np.int64)
+            if known is not None:
+                found, _ = known.value.gone(h, ids[own], no_id[own])
+                h, own = h[~found], own[~found]
+            if len(h):
+                _, first = np.unique(np.column_stack((own, h)), axis=0, return_index=True)
+                h, own = h[first], own[first]
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids[own], mask=no_id[own])], ["h1", "h2", "doc_id"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h1 long, h2 long, doc_id long")
 
 
 def repeated_lines(documents: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(h1, h2, n, keep): each key of at least min_chars in at least min_docs documents, and their largest doc_id."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, ids = [], []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                own = set(line_keys(text, min_chars)[2])
-                parts.extend(own)
-                ids.extend([doc_id] * len(own))
-            h = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64())], ["h1", "h2", "doc_id"])
-
-    lines = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashes, "h1 long, h2 long, doc_id long")
-    counts = lines.groupBy("h1", "h2").agg(F.count_distinct(F.struct("doc_id")).alias("n"), F.max("doc_id").alias("keep"))
+    counts = line_hashes(documents, min_chars).groupBy("h1", "h2").agg(F.count_distinct(F.struct("doc_id")).alias("n"), F.max("doc_id").alias("keep"))
     return counts.filter(F.col("n") >= min_docs)
 
 
-def build_index(repeated: DataFrame, n_keys: int) -> DataFrame:
+def build_index(repeated: DataFrame, shards: int) -> DataFrame:
     """(shard, blob): each shard's keys come together in one task, KEYS_PER_SHARD of them on average."""
-    shards = max(1, -(-n_keys // KEYS_PER_SHARD))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = Shard(pdf.h1.to_numpy(np.int64).view(np.uint64), pdf.h2.to_numpy(np.int64), pdf.n.to_numpy(np.int64), pdf.keep.to_numpy(np.int64))
+        shard = Shard(pdf.h1.to_numpy(np.int64).view(np.uint64), pdf.h2.to_numpy(np.int64), pdf.n.to_numpy(np.int64), pdf.keep.to_numpy(np.int64), pdf.orphan.to_numpy(bool))
         return pd.DataFrame({"shard": [int(pdf.shard.iloc[0])], "blob": [pickle.dumps(shard, 5)]})
 
-    kept = repeated.withColumn("keep", F.coalesce("keep", F.lit(-(2**63)).cast("long")))
+    kept = repeated.withColumns({"orphan": F.col("keep").isNull(), "keep": F.coalesce("keep", F.lit(0).cast("long"))})
     return kept.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, blob binary")
 
 
-def _output(documents: DataFrame) -> T.StructType:
-    fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in documents.schema if f.name not in ("n_lines", "n_dropped")]
-    return T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+def _shards(n_keys: int) -> int:
+    return max(1, -(-n_keys // KEYS_PER_SHARD))
+
+
+def _floor(repeated: DataFrame, most_keys: int) -> int:
+    """The least power of two so that at most `most_keys` keys are in that many documents or more."""
+    sizes = {r.b: r["count"] for r in repeated.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()}  # 63 rows at most
+    kept, least = 0, 63
+    while least > 0 and kept + sizes.get(least - 1, 0) <= most_keys:
+        least -= 1
+        kept += sizes.get(least, 0)
+    return 1 << least
 
 
-def _without(batch: pa.RecordBatch, texts, n_lines, n_dropped) -> pa.RecordBatch:
-    names = [x for x in batch.schema.names if x not in ("n_lines", "n_dropped", "_drop")]
-    columns = [pa.array(texts, pa.string()) if x == "text" else batch[x] for x in names]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+def _elsewhere(documents: DataFrame, rare: DataFrame, n_rare: int, known, min_chars: int) -> tuple[DataFrame, list[str]]:
+    """(doc_id, h1, h2) of the rare keys that go, probed where their shard is; and the paths of its tables."""
+    shards = _shards(n_rare)
+    index, path = materialize(build_index(rare, shards), "line-index")
+    lines, lines_path = materialize(line_hashes(documents, min_chars, known), "rare-lines")
+    blocks = max(1, -(-lines.count() // (shards * ROWS_PER_BLOCK)))
+    lines = lines.withColumns({"shard": F.pmod("h2", F.lit(shards)).cast("int"), "block": F.pmod(F.xxhash64("doc_id", "h1"), F.lit(blocks))})
+    index = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def probe(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return left.iloc[:0][["doc_id", "h1", "h2"]]
+        no_id = left.doc_id.isna().to_numpy()
+        ids = np.where(no_id, 0, left.own_id.to_numpy(np.int64))
+        _, gone = pickle.loads(right.blob.iloc[0]).gone(left.h1.to_numpy(np.int64).view(np.uint64), left.h2.to_numpy(np.int64), ids, no_id)
+        return pd.DataFrame({"doc_id": pd.Series(ids[gone], dtype="Int64").mask(pd.Series(no_id[gone])), "h1": left.h1.to_numpy()[gone], "h2": left.h2.to_numpy()[gone]})
+
+    met = lines.withColumn("own_id", F.coalesce("doc_id", F.lit(0).cast("long"))).groupBy("shard", "block").cogroup(index.groupBy("shard", "block"))
+    return met.applyInPandas(probe, "doc_id long, h1 long, h2 long"), [path, lines_path]
+
+
+def _other_name(name: str, names: list[str]) -> str:
+    while name.lower() in [x.lower() for x in names]:
+        name += "_"
+    return name
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
@@ -152,77 +225,50 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     min_chars code points found in at least min_docs documents (distinct doc_ids; rows with one doc_id are one
     document, a null doc_id counts as a document below all others) lose their lines in every document but the
     one with the largest doc_id. Null or empty text: one empty line, and the text becomes empty. Repeated rows
-    keep or lose the same lines. An empty table gives an empty result; other columns stay as they are.
+    keep or lose the same lines. An empty table gives an empty result; other columns stay as they are, but for
+    those named n_lines and n_dropped, which are replaced.
     """
     spark = documents.sparkSession
     repeated, path = materialize(repeated_lines(documents, min_chars, min_docs), "repeated-lines")
     n = repeated.count()
-    schema = _output(documents)
-    if n * BYTES_PER_KEY > max_index_bytes:
-        return _dedup_by_join(documents, repeated, min_chars, schema)
-    shards = {r.shard: pickle.loads(r.blob) for r in build_index(repeated, n).collect()} if n else {}
-    n_shards = max(1, -(-n // KEYS_PER_SHARD))
-    index = spark.sparkContext.broadcast(shards)
+    least = 0 if n * BYTES_PER_KEY <= max_index_bytes else _floor(repeated, max_index_bytes // BYTES_PER_KEY)
+    hot = repeated.filter(F.col("n") >= least)
+    n_hot = hot.count() if least else n
+    shards = {r.shard: pickle.loads(r.blob) for r in build_index(hot, _shards(n_hot)).collect()} if n_hot else {}  # bounded by max_index_bytes
+    index = spark.sparkContext.broadcast(Index(shards, _shards(n_hot)))
+    kept = documents.drop("n_lines", "n_dropped")
+    mark = _other_name("gone_keys", kept.columns)
+    marked = kept
+    if n > n_hot:
+        gone, paths = _elsewhere(documents, repeated.filter(F.col("n") < least), n - n_hot, index, min_chars)
+        own = _other_name("marked_id", kept.columns)
+        by_document, marks_path = materialize(gone.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("h1", "h2")).alias(mark)), "line-marks")  # as many as the document's lines
+        marked = kept.join(by_document, kept["doc_id"].cast("long").eqNullSafe(by_document[own]), "left").drop(own)
+        discard(spark, *paths)
     discard(spark, path)
+    names = kept.columns
+    fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in kept.schema]
+    schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    has_marks = n > n_hot
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = index.value
-        for batch in batches:
+        for batch in bounded(batches):
             originals = batch["text"].to_pylist()
-            ids = np.array([-(2**63) if x is None else x for x in batch["doc_id"].to_pylist()], np.int64)
-            rows, places, hashes, docs = [], [], [], []
-            for r, text in enumerate(originals):
-                lines, at, own = line_keys(text, min_chars)
-                docs.append(lines)
-                rows.extend([r] * len(at))
-                places.extend(at)
-                hashes.extend(own)
-            h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            owner, gone = np.array(rows, np.int64), np.zeros(len(h), bool)
-            which = h[:, 1] % n_shards  # numpy's sign follows the divisor, as pmod's
-            for s, shard in shards.items():
-                mine = np.flatnonzero(which == s)
-                count, keep = shard.probe(h[mine, 0].view(np.uint64), h[mine, 1])
-                gone[mine] = (count > 0) & (keep != ids[owner[mine]])
+            lines, rows, places, h = hashed(originals, min_chars)
+            ids, no_id = ids_of(batch["doc_id"])
+            own = np.array(rows, np.int64)
+            _, gone = index.value.gone(h, ids[own], no_id[own])
+            if has_marks:
+                marks = [{(x["h1"], x["h2"]) for x in m or ()} for m in batch[mark].to_pylist()]
+                gone = gone | np.array([(a, b) in marks[r] for r, (a, b) in zip(rows, h.tolist())], bool)
             dropped: dict[int, set] = {}
             for i in np.flatnonzero(gone):
                 dropped.setdefault(rows[i], set()).add(places[i])
-            texts = [b"\n".join(x for i, x in enumerate(docs[r]) if i not in dropped[r]).decode("utf-8", "surrogatepass") if r in dropped else text or "" for r, text in enumerate(originals)]
-            yield _without(batch, texts, [len(x) for x in docs], [len(dropped.get(r, ())) for r in range(len(docs))])
-
-    return documents.drop("n_lines", "n_dropped").mapInArrow(probe, schema)
-
-
-def _dedup_by_join(documents: DataFrame, repeated: DataFrame, min_chars: int, schema: T.StructType) -> DataFrame:
-    """The way beyond the index's bound: repeated keys meet the documents' line hashes in a shuffle join."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, parts = [], []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                own = set(line_keys(text, min_chars)[2])
-                parts.extend(own)
-                ids.extend([doc_id] * len(own))
-            h = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(parts, pa.binary())], ["id", "h1", "h2", "h"])
-
-    lines = documents.select("doc_id", "text").mapInArrow(hashes, "id long, h1 long, h2 long, h binary").distinct()
-    gone = lines.join(repeated, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("keep"))).groupBy("id").agg(F.collect_set("h").alias("_drop"))
-    marked = documents.drop("n_lines", "n_dropped").join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch["text"].to_pylist(), batch["_drop"].to_pylist()):
-                lines, at, own = line_keys(text, min_chars)
-                drop = set(drop or ())
-                bad = {i for i, h in zip(at, own) if h in drop}
-                texts.append(b"\n".join(x for i, x in enumerate(lines) if i not in bad).decode("utf-8", "surrogatepass"))
-                n_lines.append(len(lines))
-                n_dropped.append(len(bad))
-            yield _without(batch, texts, n_lines, n_dropped)
-
-    return marked.mapInArrow(apply, schema)
+            texts = [b"\n".join(x for i, x in enumerate(lines[r]) if i not in dropped[r]).decode("utf-8", "surrogatepass") if r in dropped else text or "" for r, text in enumerate(originals)]
+            columns = [pa.array(texts, pa.string()) if x == "text" else batch[x] for x in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in lines], pa.int64()), pa.array([len(dropped.get(r, ())) for r in range(len(lines))], pa.int64())], [*names, "n_lines", "n_dropped"])
+
+    return marked.mapInArrow(probe, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

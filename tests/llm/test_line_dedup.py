@@ -17,6 +17,9 @@ LONG = "x" * 40
 CASES = [(1, None), (2, ""), (3, f"a\n {LONG}\t\nb"), (4, LONG.upper()), (5, LONG), (5, LONG), (6, LONG + "\n" + LONG), (7, LONG), (8, "y" * 39), (9, "é" * 39 + "\n" + "é" * 40), (None, LONG), (10, LONG + "\n\n" + "z" * 50000)]
 
 
+NONE = -(2**70)  # below all ids
+
+
 def brute(rows, chars=40, docs=5):
     ws = " \t\n\x0b\x0c\r"
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -25,11 +28,11 @@ def brute(rows, chars=40, docs=5):
         for line in (t or "").split("\n"):
             k = line.strip(ws).translate(low)
             if len(k) >= chars:
-                holders.setdefault(k, set()).add(-1 if i is None else i)
+                holders.setdefault(k, set()).add(NONE if i is None else i)
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not (len(h := holders.get(x.strip(ws).translate(low), ())) >= docs and max(h) != (-1 if i is None else i))]
+        kept = [x for x in lines if not (len(h := holders.get(x.strip(ws).translate(low), ())) >= docs and max(h) != (NONE if i is None else i))]
         out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return sorted(out, key=str)
 
@@ -45,8 +48,28 @@ def test_matches_brute_force(spark):
     assert run(spark, CASES) == brute(CASES)
 
 
-def test_shuffle_way_agrees(spark):
-    assert run(spark, CASES, max_index_bytes=0) == brute(CASES)
+def test_shards_elsewhere_agree(spark, monkeypatch):
+    """Keys beyond the bound, in several shards and blocks; nulls and the least id are told apart."""
+    monkeypatch.setattr(m, "KEYS_PER_SHARD", 3)
+    monkeypatch.setattr(m, "ROWS_PER_BLOCK", 4)
+    lines = [f"line {k} " + "w" * 40 for k in range(30)]
+    rows = [*CASES, *[(20 + i, "\n".join(lines[: 3 + i])) for i in range(30)], (-(2**63), "\n".join(lines)), (None, "\n".join(lines)), (None, "\n".join(lines))]
+    want = brute(rows)
+    for bound in (0, 5 * m.BYTES_PER_KEY, 12 * m.BYTES_PER_KEY, m.MAX_INDEX_BYTES):
+        assert run(spark, rows, max_index_bytes=bound) == want
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, LONG, "a", 1, 2, "b", "c") for i in range(6)], "doc_id long, text string, _drop string, id int, n_dropped int, gone_keys string, marked_id string")
+    for bound in (0, m.MAX_INDEX_BYTES):
+        got = m.dedup_lines(df, max_index_bytes=bound).collect()
+        assert sorted((r.doc_id, r.text, r._drop, r.id, r.gone_keys, r.marked_id, r.n_dropped) for r in got) == [(i, LONG if i == 5 else "", "a", 1, "b", "c", int(i < 5)) for i in range(6)]
+
+
+def test_a_text_of_many_megabytes(spark):
+    rows = [(i, (LONG + "\n" + "y" * 200 + "\n") * (40_000 if i == 1 else 1)) for i in range(5)]
+    got = {i: (n, d, len(t)) for i, n, d, t in run(spark, rows)}
+    assert got[1] == (80_001, 80_000, 0) and got[4] == (3, 0, 242)
 
 
 def test_empty_table(spark):
