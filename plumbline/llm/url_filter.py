@@ -3,12 +3,12 @@
 Level 1 encodes the listed keys; level 2 the keys of the corpus that level 1 takes for listed but that
 aren't; level 3 the listed keys that level 2 takes for unlisted; and so on until a level errs on no key of
 the corpus's complete key universe (every host of the corpus and each of its parent domains). A lookup walks
-the levels until one doesn't hold the key: listed if that is an even number of levels down. Probing is plain
-column arithmetic on long arrays that ride in the plan as one literal row of a scalar subquery: no join, no
-Python. Only building the cascade reads the corpus's distinct keys, after map-side distinct.
+the levels until one doesn't hold the key: listed if that is an even number of levels down. Levels are binary
+literals of the plan, read a byte at a time: no join, no Python, and a row carries none of them. Only building the
+cascade reads the corpus's distinct keys, after map-side distinct; its levels go through the driver, as literals do.
 
-Size: a level takes about 1.44 * log2(1/p) bits a key; `max_bits` bounds the sum, and beyond it
-`filter_urls` falls back to an exact semi join on the distinct keys instead of a larger broadcast.
+Size: a level takes about 1.44 * log2(1/p) bits a key. Where a list would take more than `max_bits`, its keys are
+dealt to groups by their hash; each group has a cascade of its own over the universe's keys of that group, and a pass.
 """
 from __future__ import annotations
 
@@ -25,7 +25,10 @@ NAME = "op3_url_filter"
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 LISTED = ("adult-x.example.com", "adult-x.example.net", "adult-x.example.org", "spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org")
 
-FIRST_FPP, NEXT_FPP, MAX_BITS, MAX_LEVELS = 0.01, 0.5, 1 << 27, 64
+FIRST_FPP, LEAST_FPP, NEXT_FPP, MAX_BITS = 0.01, 1e-7, 0.5, 1 << 27
+
+#: Bits of a literal's byte (a byte of ASCII is a character, whose code Spark can read); bytes that are put together in one row.
+BITS, BLOCK = 7, 4096
 
 
 def lower_ascii(c: Column) -> Column:
@@ -63,71 +66,59 @@ def _bits(key: Column, level: int, m: int, k: int) -> list[Column]:
     return [F.pmod(start + F.lit(i) * step, F.lit(m)) for i in range(k)]
 
 
-def _level(keys: DataFrame, n: int, level: int, fpp: float) -> tuple[DataFrame, int, int]:
-    """One row with the words of a Bloom filter over keys(key): positions are or-ed before and after one shuffle."""
-    m = max(64, 64 * math.ceil(n * -math.log(fpp) / (math.log(2) ** 2) / 64))
-    k = max(1, round(m / max(n, 1) * math.log(2)))
-    k = min(k, 16)
-    set_bits = keys.select(F.explode(F.array(*_bits(F.col("key"), level, m, k))).alias("bit"))
-    words = set_bits.groupBy(F.call_function("div", F.col("bit"), F.lit(64)).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("bit"), F.lit(64)).cast("int"))).alias("w"))
-    row = words.agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("by"))
-    dense = row.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(m // 64 - 1).cast("long")), lambda i: F.coalesce(F.col("by")[i], F.lit(0).cast("long"))).alias("words"))
-    return dense, m, k
+def _level(keys: DataFrame, n: int, level: int, fpp: float) -> tuple[bytes, int, int]:
+    """A Bloom filter over keys(key): its bytes, bits and hashes. Bits are or-ed before and after a shuffle."""
+    m = max(BITS, BITS * math.ceil(n * -math.log(fpp) / (math.log(2) ** 2) / BITS))
+    k = min(16, max(1, round(m / max(n, 1) * math.log(2))))
+    bits = keys.select(F.explode(F.array(*_bits(F.col("key"), level, m, k))).alias("bit"))
+    some = bits.select(F.call_function("div", F.col("bit"), F.lit(BITS)).alias("i"), F.call_function("shiftleft", F.lit(1), F.pmod("bit", F.lit(BITS)).cast("int")).alias("w"))
+    every = keys.sparkSession.range(m // BITS).select(F.col("id").alias("i"), F.lit(0).alias("w"))
+    each = some.unionByName(every).groupBy("i").agg(F.bit_or("w").alias("w"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: F.char(x["w"]))
+    rows = each.groupBy(F.call_function("div", F.col("i"), F.lit(BLOCK)).alias("block")).agg(F.array_join(ordered, "").alias("bytes"))
+    return "".join(r.bytes for r in sorted(rows.collect(), key=lambda r: r.block)).encode("ascii"), m, k  # at most max_bits / BITS bytes
 
 
 class Cascade:
-    """levels: (one-row DataFrame with column words, bits, hashes) from the first to the last."""
+    """levels: (bytes, bits, hashes) from the first to the last."""
 
-    def __init__(self, levels):
+    def __init__(self, levels: list[tuple[bytes, int, int]]):
         self.levels = levels
 
-    def attach(self, df: DataFrame) -> DataFrame:
-        """df with the words of each level, from a scalar subquery each (lambdas can read columns, not subqueries)."""
-        return df.withColumns({f"_words{i}": rows.scalar() for i, (rows, _, _) in enumerate(self.levels)})
-
-    def drop(self, df: DataFrame) -> DataFrame:
-        return df.drop(*[f"_words{i}" for i in range(len(self.levels))])
-
-    def _in(self, key: Column, i: int) -> Column:
-        _, m, k = self.levels[i]
-        words = F.col(f"_words{i}")
-        hit = lambda b: F.call_function("shiftrightunsigned", F.get(words, F.call_function("div", b, F.lit(64)).cast("int")), F.pmod(b, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    def holds(self, key: Column, i: int) -> Column:
+        data, m, k = self.levels[i]
+        byte = lambda b: F.ascii(F.substring(F.lit(data), (F.call_function("div", b, F.lit(BITS)) + 1).cast("int"), F.lit(1)).cast("string"))
+        hit = lambda b: F.call_function("shiftright", byte(b), F.pmod(b, F.lit(BITS)).cast("int")).bitwiseAND(F.lit(1)) == 1
         return reduce(lambda x, y: x & y, [hit(b) for b in _bits(key, i, m, k)])
 
     def listed(self, key: Column) -> Column:
         """Exact for every key of the universe it was built over; a key that no level errs on ends the walk."""
         out = F.lit(len(self.levels) % 2 == 1)
         for i in reversed(range(len(self.levels))):
-            out = F.when(~self._in(key, i), F.lit(i % 2 == 1)).otherwise(out)
+            out = F.when(~self.holds(key, i), F.lit(i % 2 == 1)).otherwise(out)
         return out
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS) -> tuple[Cascade | None, list[str]]:
-    """A cascade over universe(key) and listed(key), both distinct; None where it would take more than max_bits.
-
-    Also the paths of its tables in the shared folder. Levels are small tables there, so a lost executor only
-    rereads them.
-    """
-    inside, n_in = listed, listed.count()
-    outside = universe.join(listed, "key", "left_anti")
-    levels, paths, spent = [], [], 0
-    n, keys, others = n_in, inside, outside
-    for i in range(MAX_LEVELS):
-        rows, m, k = _level(keys, n, i, FIRST_FPP if i == 0 else NEXT_FPP)
-        spent += m
-        if spent > max_bits:
-            return None, paths
-        rows, path = materialize(rows, f"bloom{i}")
-        paths.append(path)
-        levels.append((rows, m, k))
-        now = Cascade(levels)
-        wrong, path = materialize(now.drop(now.attach(others).filter(now._in(F.col("key"), i))), f"wrong{i}")
+def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
+    """A cascade over universe(key) and listed(key), both distinct. Each level errs on about half as many keys as the one before."""
+    spark = universe.sparkSession
+    others, outside_path = materialize(universe.join(listed, "key", "left_anti"), "unlisted")
+    n, n_others, keys, levels, paths = listed.count(), others.count(), listed, [], [outside_path]
+    while True:
+        i = len(levels)
+        fpp = min(FIRST_FPP, max(LEAST_FPP, 0.7 * n / max(n_others, 1))) if i == 0 else NEXT_FPP
+        levels.append(_level(keys, n, i, fpp))
+        wrong, path = materialize(others.filter(Cascade(levels).holds(F.col("key"), i)), f"wrong{i}")
         paths.append(path)
         n = wrong.count()
         if n == 0:
-            return Cascade(levels), paths
+            discard(spark, *paths)
+            return Cascade(levels)
         keys, others = wrong, keys
-    return None, paths
+
+
+def _group(key: Column, groups: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(groups), key), F.lit(groups))
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=(), url: str = "url", max_bits: int = MAX_BITS) -> DataFrame:
@@ -138,17 +129,24 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=(), url: str = "url",
     so allowed. Repeated rows each get their row; an empty table gives an empty result; null listed keys are
     ignored. The five output names replace columns of the same name.
     """
+    spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
-    parsed = pages.drop(*[c for c in ("host", "path", "rule", "listed", "verdict") if c != url]).withColumns({"host": host, "path": path})
-    wanted = listed.select(F.col(listed.columns[0]).alias("key")).filter("key is not null").distinct()
-    universe, stored = materialize(parsed.select("host").distinct().select(F.explode(host_keys(F.col("host"))).alias("key")).distinct(), "url-keys")
-    cascade, paths = build_cascade(universe, wanted, max_bits)
+    out = pages.drop(*[c for c in ("host", "path", "rule", "listed", "verdict") if c != url]).withColumns({"host": host, "path": path})
+    wanted, wanted_path = materialize(listed.select(F.col(listed.columns[0]).alias("key")).filter("key is not null").distinct(), "listed-keys")
+    universe, stored = materialize(out.select("host").distinct().select(F.explode(host_keys(F.col("host"))).alias("key")).distinct(), "url-keys")
+    groups = max(1, math.ceil((12 * wanted.count() + 3 * FIRST_FPP * universe.count()) / max_bits))
+    out = out.withColumn("listed", F.lit(False))
+    before: list[str] = []
+    for g in range(groups):
+        mine = lambda key: _group(key, groups) == g if groups > 1 else F.lit(True)  # noqa: B023, E731  used within the round
+        cascade = build_cascade(universe.filter(mine(F.col("key"))), wanted.filter(mine(F.col("key"))))
+        out = out.withColumn("listed", F.col("listed") | F.exists(host_keys(F.col("host")), lambda key: mine(key) & cascade.listed(key)))
+        if g < groups - 1:  # a plan holds the literals of one group
+            out, now = materialize(out, "url-verdicts")
+            discard(spark, *before)
+            before = [now]
+    discard(spark, wanted_path, stored)
     text, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    if cascade is not None:
-        out = cascade.drop(cascade.attach(parsed).withColumn("listed", F.exists(host_keys(F.col("host")), cascade.listed)))
-    else:  # too many listed keys for one broadcast: exact semi join over the distinct hosts
-        hit = parsed.select("host").distinct().select("host", F.explode(host_keys(F.col("host"))).alias("key")).join(wanted, "key", "left_semi").select("host").distinct().withColumn("listed", F.lit(True))
-        out = parsed.join(hit, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     return out.withColumns({"rule": text, "verdict": F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))})
 
 
