@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.llm.common import table
+from plumbline.llm.common import bounded, table, text_batches
 from plumbline.llm.html_pages import NAMES, labelled_pages
 
 NAME = "op6_html_extract"
@@ -31,8 +31,8 @@ EVIDENCE = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0)
 #: Fixed values from the HTML standard: elements without an end, elements whose text isn't rendered, inline
 #: elements (they don't part blocks), and elements that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select datalist noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style noscript template textarea title iframe svg audio video select datalist noembed noframes xmp".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics canvas object a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol table dl article section aside main div body html td th form".split())
@@ -82,7 +82,8 @@ def parse(html: str | None) -> Page:
     stack: list[tuple[str, int, bool]] = [("#top", top, False)]
     run: list[str] = []
     linked, in_link, at = 0, 0, 0
-    open_p, articles = 0, 0
+    articles = 0
+    places: dict[str, list[int]] = {}  # where on the stack the open elements of a name are, so that none is looked for by a walk
 
     def flush() -> None:
         nonlocal linked
@@ -101,13 +102,17 @@ def parse(html: str | None) -> Page:
         linked = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal open_p, articles
+        nonlocal articles
         flush()
         for tag, _, main in stack[depth:]:
-            open_p -= tag == "p"
+            places[tag].pop()
             articles -= main
         del stack[depth:]
 
+    def last(*tags: str) -> int:
+        """The place of the innermost open element of these names; 0 for none."""
+        return max([0, *[places[t][-1] for t in tags if places.get(t)]])
+
     size = len(text)
     while at < size:
         lt = text.find("<", at)
@@ -128,7 +133,7 @@ def parse(html: str | None) -> Page:
         if tag is None:
             continue
         tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if tag in INLINE and not (tag == "ins" and (attrs.strip() or closing and any(x[0] == "ins" for x in stack))):
+        if tag in INLINE and not (tag == "ins" and (attrs.strip() or closing and places.get("ins"))):
             if tag == "a":
                 in_link = 0 if closing else 1
             continue
@@ -138,13 +143,10 @@ def parse(html: str | None) -> Page:
         if closing:
             if tag == "head" or tag in VOID:
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    in_link = 0
-                    break
-                if tag in ("p", "li", "td", "tr") and stack[depth][0] in ("table", "body"):
-                    break
+            depth = last(tag)
+            if depth and not (tag in ("p", "li", "td", "tr") and last("table", "body") > depth):
+                pop_to(depth)
+                in_link = 0
             continue
         if tag in RAW:
             flush() if tag in ("iframe", "svg", "object", "canvas", "video", "audio", "textarea", "select") else None
@@ -152,19 +154,11 @@ def parse(html: str | None) -> Page:
                 close = _closing(tag).search(text, at)
                 at = close.end() if close else size
             continue
-        if tag in ENDS_P and open_p:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in ("table", "td", "th", "button"):
-                    break
-        for depth in range(len(stack) - 1, 0, -1) if tag in CLOSES else ():
-            if stack[depth][0] in CLOSES[tag]:
-                pop_to(depth)
-                if tag in ("li", "dt", "dd", "option", "td", "th"):
-                    break
-            elif stack[depth][0] in SCOPE and stack[depth][0] not in CLOSES[tag]:
+        if tag in ENDS_P and (depth := last("p")) > last("table", "td", "th", "button"):
+            pop_to(depth)
+        while tag in CLOSES and (depth := last(*CLOSES[tag])) > last(*SCOPE.difference(CLOSES[tag])):
+            pop_to(depth)
+            if tag in ("li", "dt", "dd", "option", "td", "th"):
                 break
         flush()
         in_link = 0
@@ -173,7 +167,7 @@ def parse(html: str | None) -> Page:
         own = page.node(stack[-1][1], _element_features(tag, attrs, articles > 0))
         main = tag in ("article", "main") or not MAIN.isdisjoint(page.features[own])
         stack.append((tag, own, main))
-        open_p += tag == "p"
+        places.setdefault(tag, []).append(len(stack) - 1)
         articles += main
     flush()
     return page
@@ -272,16 +266,17 @@ def extract_text(pages: DataFrame, model: Model | None = None, html: str = "html
     """pages with text (the main text of the whole html) and n_chars (its code points), which replace columns of
     these names. Null and empty html: empty text. Repeated rows each get theirs; an empty table an empty result."""
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
-    kept = [c for c in pages.columns if c not in ("text", "n_chars") or c == html]
+    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in bounded(batches):
             texts = [model.extract(h.as_py()) for h in batch[html]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, "text", "n_chars"])
 
-    return pages.select(*kept).mapInArrow(run, schema)
+    text_batches(pages.sparkSession)
+    return pages.select(*kept, *[html] * (html not in kept)).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import html
 import itertools
 import math
 import re
+import time
 
 from plumbline.llm import html_extract as m
 from plumbline.llm.html_pages import labelled_pages
@@ -67,3 +68,22 @@ def test_edge_cases(spark):
     assert got[1].text == got[2].text == got[6].text == "" and got[1].n_chars == 0
     assert got[3].n_chars == 5 * 50000 - 1
     assert m.extract_text(df.limit(0), MODEL).collect() == []
+
+
+def test_mathml_and_fallback_content_stay():
+    page = "<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here, as all of us know.</p><p>A long line with <object>an object's text</object> inside of it.</p></article>"
+    assert MODEL.extract(page) == "Energy is E=m here, as all of us know.\nA long line with an object's text inside of it."
+
+
+def test_time_follows_the_length():
+    """Ends without starts, open paragraphs below tables and lists of deep items take no walk over the stack."""
+    for unit, end in (("<div>", "</zz>"), ("<p><table><div>", "</p>"), ("<li><zz>", "<li>"), ("<p><button><div>", "<div>")):
+        began = time.time()
+        m.parse(unit * 20_000 + end * 20_000)
+        assert time.time() - began < 5
+
+
+def test_text_column_as_html(spark):
+    df = spark.createDataFrame([("<article><p>Some words of an article, in a page.</p></article>", 1)], "text string, k int")
+    got = m.extract_text(df, MODEL, html="text")
+    assert got.columns == ["k", "text", "n_chars"] and got.first().text == "Some words of an article, in a page."
