@@ -6,12 +6,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def stale(policy: DataFrame, data: DataFrame, on) -> DataFrame:
-    """Policy rows that match no data. `on` is a list of keys (equi, distinct keys only travel) or a condition."""
+#: A policy table up to this many rows travels to the data; a larger one meets it as Spark chooses.
+MAX_POLICY = 100_000
+
+
+def stale(policy: DataFrame, data: DataFrame, on, keys: list[str] | None = None) -> DataFrame:
+    """Policy rows that match no data. `on` is a list of keys (equi, distinct keys only travel) or a condition.
+
+    With a condition, `keys` name the policy's rows: the policy travels to the data, one scan finds the rows that match, and
+    these leave by equality. The data is never broadcast.
+    """
     if isinstance(on, (list, str)):
         keys = [on] if isinstance(on, str) else on
         return policy.join(data.select(*keys).distinct(), keys, "left_anti")
-    return policy.join(data, on, "left_anti")
+    few = F.broadcast(policy) if policy.count() <= MAX_POLICY else policy
+    return policy.join(data.join(few, on).select(*keys).distinct(), keys, "left_anti")
 
 
 def multiplicity(left: DataFrame, right: DataFrame, keys: list[str], name: str = "matches") -> DataFrame:
@@ -45,8 +54,8 @@ def reconcile(before: DataFrame, after: DataFrame, keys: list[str], value: str)
 
 
 def directional(changes: DataFrame, up: str, down: str) -> DataFrame:
-    """reconcile() rows that changed, with kind: up for more or new, down for less or gone."""
-    grew = F.col("class").isin("added") | (F.col("after") > F.col("before"))
+    """reconcile() rows that changed, with kind: up for more or new, down for less or gone; a null counts as nothing."""
+    grew = (F.col("class") == "added") | ((F.col("class") == "changed") & (F.col("before").isNull() | F.coalesce(F.col("after") > F.col("before"), F.lit(False))))
     return changes.filter("class <> 'same'").withColumn("kind", F.when(grew, up).otherwise(down))
 
 

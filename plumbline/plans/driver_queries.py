@@ -88,8 +88,8 @@ SELECT layer FROM s WHERE NOT EXISTS (SELECT 1 FROM part WHERE regexp_matches(p_
 def stale_selectors(spark: SparkSession, d: str) -> DataFrame:
     """Layer selectors without any package: an anti-join on the compiled pattern, over distinct brands."""
     policy = literal(spark, [(n, P.glob_regex(g)) for n, g in BRANDS], "layer string, pattern string")
-    data = table(spark, d, "part").select("p_brand").distinct()
-    return R.stale(policy, data, F.expr("p_brand rlike pattern")).select("layer")
+    data = table(spark, d, "part").select(P.path_bytes(F.col("p_brand")).alias("brand")).distinct()
+    return R.stale(policy, data, F.expr("brand rlike pattern"), ["layer"]).select("layer")
 
 
 @register("glob_scope", """
@@ -155,22 +155,6 @@ def diff_summary(spark: SparkSession, d: str) -> DataFrame:
     return O.change_summary(directional(spark, d), ["debt", "cleanup"])
 
 
-@register("ratchet", """
-WITH m AS (SELECT l_suppkey AS supplier, count(*)::BIGINT AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-t AS (SELECT s_suppkey AS supplier, 100::BIGINT AS target FROM supplier WHERE s_acctbal > 0), k AS (SELECT s_suppkey AS supplier, s_suppkey % 300 AS locked FROM supplier WHERE s_suppkey % 3 > 0),
-j AS (SELECT coalesce(m.supplier, t.supplier) AS supplier, coalesce(value, 0) AS value, target FROM m FULL JOIN t ON m.supplier = t.supplier)
-SELECT j.supplier, value, target, locked, CASE WHEN target IS NULL THEN CASE WHEN value > 0 THEN 'unratcheted' ELSE 'none' END WHEN value = 0 THEN 'stale' WHEN locked IS NULL THEN 'missing' WHEN value > locked THEN 'grew' WHEN value < locked THEN 'shrank' ELSE 'held' END AS finding
-FROM j LEFT JOIN k ON j.supplier = k.supplier
-""")
-def ratchet(spark: SparkSession, d: str) -> DataFrame:
-    """Measured counts against targets and locked counts."""
-    measured = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count("*").alias("value"))
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("supplier"), "s_acctbal")
-    targets = s.filter("s_acctbal > 0").select("supplier", F.lit(100).cast("long").alias("target"))
-    locked = s.filter("supplier % 3 > 0").select("supplier", (F.col("supplier") % 300).alias("locked"))
-    return R.ratchet(measured, targets, locked, ["supplier"])
-
-
 @register("ratchet_lines", """
 WITH m AS (SELECT l_suppkey AS supplier, count(*)::BIGINT AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
 t AS (SELECT s_suppkey AS supplier, 100::BIGINT AS target FROM supplier WHERE s_acctbal > 0), k AS (SELECT l_suppkey AS supplier, count(*)::BIGINT AS locked FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
@@ -295,45 +279,6 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", P.fingerprint(F.lit("DOC-001"), F.col("source"), F.col("lang"), F.col("n_chars").cast("string")).alias("fingerprint"))
 
 
-_TRADE = """
-SELECT DISTINCT c.c_nationkey AS src, s.s_nationkey AS dst FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
-JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE l.l_quantity >= 49 AND c.c_nationkey < s.s_nationkey + 4 AND (c.c_nationkey * 7 + s.s_nationkey) % 6 = 1
-"""
-
-
-def _trade(spark: SparkSession, d: str) -> DataFrame:
-    """A graph of nations: an edge where a customer's order has a line of a supplier (25 nodes)."""
-    rows = (
-        table(spark, d, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_suppkey")
-        .join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-        .join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-        .join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    )
-    return rows.filter("c_nationkey < s_nationkey + 4 and (c_nationkey * 7 + s_nationkey) % 6 = 1").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
-
-
-_CLOSURE = f"e AS ({_TRADE}), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)"
-
-
-@register("shortest_path", f"WITH RECURSIVE e AS ({_TRADE}), b(node, depth) AS (SELECT 0, 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON b.node = e.src WHERE b.depth < 25) SELECT node, min(depth)::INT AS depth FROM b GROUP BY 1")
-def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    """Depths of shortest paths from one node (G1); paths are checked in the tests."""
-    return G.shortest_paths(_trade(spark, d).withColumn("ord", F.col("dst")), literal(spark, [(0,)], "node int")).select("node", "depth")
-
-
-@register("scc", f"WITH RECURSIVE {_CLOSURE} SELECT a.src AS node, min(least(a.src, a.dst)) AS component FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY 1")
-def scc(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes on cycles, with their component's least node."""
-    return G.cycles(_trade(spark, d))
-
-
-@register("fixpoint", f"WITH RECURSIVE e AS ({_TRADE}), f(node) AS (SELECT 3 UNION SELECT e.dst FROM f JOIN e ON f.node = e.src) SELECT node FROM f")
-def fixpoint(spark: SparkSession, d: str) -> DataFrame:
-    """The least set that holds a seed and is closed under the edges."""
-    edges = _trade(spark, d)
-    return G.fixpoint(literal(spark, [(3,)], "node int"), lambda new: new.join(edges, new.node == edges.src).select(F.col("dst").alias("node")))
-
-
 _SPEAK = "SELECT DISTINCT a.conv_id || ':' || a.role AS src, b.conv_id || ':' || b.role AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
 _FIRST = "SELECT DISTINCT conv_id || ':' || role AS node FROM conversations WHERE turn = 0"
 
