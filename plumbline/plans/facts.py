@@ -43,7 +43,7 @@ FROM {supplier} s JOIN {nation} a ON a.n_nationkey = s.s_nationkey JOIN {nation}
 def rows(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A fact table in Spark, with spans as structs and arrays where the operators want them."""
     tables = {t: spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "orders", "lineitem", "nation", "supplier") if "{" + t + "}" in SQL[name]}
-    out = spark.sql(SQL[name], **tables)
+    out = spark.sql(SQL[name].replace("{text}", "string"), **tables)
     if name in ("facts", "operations"):
         out = out.selectExpr("*", f"{SPAN} as span", "array() as canonical").withColumn("canonical", _none()).drop("line", "col", "bits")
     return out
@@ -57,4 +57,16 @@ def _none():
 
 def table(name: str) -> str:
     """The same table for the other engine, as a subquery."""
-    return "(" + SQL[name].format(customer="customer", orders="orders", lineitem="lineitem", nation="nation", supplier="supplier") + ")"
+    return "(" + SQL[name].format(customer="customer", orders="orders", lineitem="lineitem", nation="nation", supplier="supplier", text="varchar") + ")"
+
+
+#: Entries of two snapshots (see `operators.diff`): what customers, orders and their lines were up to a day, and after it.
+_SIDE = "CASE WHEN o_orderdate < TIMESTAMP '1998-01-01 00:00:00' THEN 'before' ELSE 'after' END"
+SQL["entries"] = f"""
+SELECT side, 'lock.package' AS key, 'c' || o_custkey AS subject, CAST(NULL AS {{text}}) AS value, CAST(NULL AS double) AS rank, CAST(NULL AS {{text}}) AS parent FROM (SELECT {_SIDE} AS side, o_custkey FROM {{orders}}) a GROUP BY side, o_custkey
+UNION ALL SELECT side, 'lock.edge', 'c' || o_custkey || '->s' || l_suppkey, NULL, NULL, NULL FROM (SELECT {_SIDE} AS side, o_custkey, l_suppkey FROM {{orders}} o JOIN {{lineitem}} l ON l.l_orderkey = o.o_orderkey) b GROUP BY side, o_custkey, l_suppkey
+UNION ALL SELECT side, 'lock.ratchet', 'rust.file-size:c' || o_custkey, CAST(count(*) AS {{text}}), CAST(count(*) AS double), NULL FROM (SELECT {_SIDE} AS side, o_custkey FROM {{orders}}) c GROUP BY side, o_custkey
+UNION ALL SELECT side, 'lock.gate', 'c' || o_custkey, min(o_orderpriority), NULL, NULL FROM (SELECT {_SIDE} AS side, o_custkey, o_orderpriority FROM {{orders}}) e GROUP BY side, o_custkey
+UNION ALL SELECT side, 'lock.gate.input', 'c' || o_custkey || ':' || o_orderpriority, max(o_orderstatus), NULL, 'lock.gate:c' || o_custkey FROM (SELECT {_SIDE} AS side, o_custkey, o_orderpriority, o_orderstatus FROM {{orders}}) g GROUP BY side, o_custkey, o_orderpriority
+UNION ALL SELECT side, 'layer.external', 'c' || o_custkey, min(o_orderstatus), min(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END), NULL FROM (SELECT {_SIDE} AS side, o_custkey, o_orderstatus FROM {{orders}}) h GROUP BY side, o_custkey
+"""
