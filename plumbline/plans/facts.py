@@ -44,8 +44,8 @@ def rows(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A fact table in Spark, with spans as structs and arrays where the operators want them."""
     tables = {t: spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "orders", "lineitem", "nation", "supplier") if "{" + t + "}" in SQL[name]}
     out = spark.sql(SQL[name].replace("{text}", "string"), **tables)
-    if name in ("facts", "operations"):
-        out = out.selectExpr("*", f"{SPAN} as span", "array() as canonical").withColumn("canonical", _none()).drop("line", "col", "bits")
+    if name in ("facts", "operations", "debts"):
+        out = out.selectExpr("*", f"{SPAN} as span").withColumn("canonical", _none()).drop("line", "col", "bits")
     return out
 
 
@@ -59,6 +59,10 @@ def table(name: str) -> str:
     """The same table for the other engine, as a subquery."""
     return "(" + SQL[name].format(customer="customer", orders="orders", lineitem="lineitem", nation="nation", supplier="supplier", text="varchar") + ")"
 
+SQL["debts"] = f"""SELECT path, CASE l_linenumber % 5 WHEN 0 THEN 'method' WHEN 1 THEN 'macro' WHEN 2 THEN 'unsafe' WHEN 3 THEN 'suppression' ELSE 'test' END AS kind, ordinal, line, col, quality,
+  CASE l_linenumber % 5 WHEN 0 THEN CASE WHEN l_quantity < 20 THEN 'unwrap' ELSE 'r#expect' END WHEN 1 THEN CASE WHEN l_quantity < 20 THEN 'std::dbg' ELSE 'todo' END WHEN 2 THEN 'unsafe block'
+    WHEN 3 THEN CASE WHEN l_quantity < 25 THEN 'unreasoned lint suppression' ELSE 'lint suppression' END ELSE 'it_' || CAST(l_quantity AS int) END AS name FROM ({_LINES})"""
+
 
 #: Entries of two snapshots (see `operators.diff`): what customers, orders and their lines were up to a day, and after it.
 _SIDE = "CASE WHEN o_orderdate < TIMESTAMP '1998-01-01 00:00:00' THEN 'before' ELSE 'after' END"
