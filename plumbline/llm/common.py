@@ -1,6 +1,8 @@
 """What the operators share: tables, the shared folder, and materializing without lineage."""
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -10,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 WHITE = " \t\n\x0b\x0c\r"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_OWN: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which goes when the driver ends; a result may read tables there until then."""
+    path = f"{shared_dir(spark)}/plumbline/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        atexit.register(_remove, folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder)
+    return path
+
+
+def _remove(system, folder) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        system.delete(folder, True)
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batches, unless they were set: 10,000 whole texts are too much for a worker's and a JVM's buffers."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as Parquet to the shared folder and read again, which cuts its lineage; and the path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -11,7 +11,8 @@ meets an item in any table is verified by the exact edit distance to every stret
 Windows start at every word. One that can't match isn't embedded: a passage within d edits of n words shares at
 least all but 2d of its pairs of adjacent different words and all but 3d of its triples, and counts of the
 documents' pairs and triples known to some item rule windows out by this, losing nothing; so do counts of an
-item's own words before the exact distance. Documents are read once and only matches leave a task: no shuffle, so no key can be hot. Items
+item's own words before the exact distance. An item too short for any edit (under 5 words, with a fifth) is found where its words
+stand in a row: its windows are keyed whole and compared. Documents are read once and only matches leave a task: no shuffle, so no key can be hot. Items
 are the query set; they are shared in blocks of bounded size, a pass for each block.
 """
 from __future__ import annotations
@@ -24,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import bounded, table, text_batches
 
 NAME = "op7_decontaminate"
-MAX_EDITS, MIN_WORDS, REPEATS, TABLES, SAMPLED = 0.2, 5, 8, 16, 2
-BLOCK_WORDS, PAIR_BITS, WORDS_AT_ONCE, CACHE = 500_000, 22, 1_000_000, 300_000
+MAX_EDITS, REPEATS, TABLES, SAMPLED = 0.2, 8, 16, 2
+BLOCK_WORDS, PAIR_BITS, WORDS_AT_ONCE, CACHE = 500_000, 22, 250_000, 50_000
 
 
 def normal(token: str) -> str:
@@ -86,7 +87,11 @@ class Index:
         self.pairs, self.triples, self.own = (np.zeros(1 << PAIR_BITS, bool) for _ in range(3))
         self.by_length: dict[int, list[int]] = {}
         self.need: dict[int, tuple[int, int]] = {}  # the pairs and triples that the most edits leave of any item
+        self.short: dict[int, list[int]] = {}  # items that no edit is allowed of, by length
         for k, (_, ids) in enumerate(self.items):
+            if self.edits(len(ids)) == 0:
+                self.short.setdefault(len(ids), []).append(k)
+                continue
             two, new = self.pair(ids[:-1], ids[1:]), ids[:-1] != ids[1:]
             self.pairs[two[new]] = True
             three = new[:-1] & new[1:]
@@ -148,6 +153,25 @@ class Index:
                 found.update((int(r), self.by_length[n][order[k]]) for k in range(lo[r], hi[r]))
         return sorted(found)
 
+    @staticmethod
+    def row_keys(ids: np.ndarray, n: int) -> np.ndarray:
+        """A key of the n words at each place."""
+        out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+        for j in range(n):
+            out = (out ^ ids[j : len(ids) - n + 1 + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return out
+
+    def _exact(self, n: int, ids: np.ndarray, starts: np.ndarray, best: dict) -> None:
+        """The first place of each item of n words in each document."""
+        items = self.short[n]
+        own = np.array([self.row_keys(self.items[k][1], n)[0] for k in items], np.uint64)
+        keys = self.row_keys(ids, n)
+        for at in np.flatnonzero(np.isin(keys, own)):
+            for k in (items[i] for i in np.flatnonzero(own == keys[at])):
+                if np.array_equal(ids[at : at + n], self.items[k][1]):
+                    doc = int(np.searchsorted(starts, at, "right")) - 1
+                    best.setdefault((doc, k), (0, int(at) + n - int(starts[doc])))
+
     def search(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
         """(doc's number, item's number, edits, end) of each document and item that match, at the first best place."""
         if not self.items:
@@ -155,6 +179,15 @@ class Index:
         gap = np.zeros(1, np.int64)
         ids = np.concatenate([x for d in docs for x in (d, gap)]) if docs else gap
         starts = np.concatenate(([0], np.cumsum([len(d) + 1 for d in docs])))
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for n in self.short:
+            self._exact(n, ids, starts, best)
+        if self.by_length:
+            self._near(ids, starts, best)
+        return [(doc, k, edits, end) for (doc, k), (edits, end) in sorted(best.items())]
+
+    def _near(self, ids: np.ndarray, starts: np.ndarray, best: dict) -> None:
+        """Adds the items that differ by the edits allowed at most."""
         known = (ids[:-1] > 0) & (ids[1:] > 0) & (ids[:-1] != ids[1:])
         two = self.pair(ids[:-1], ids[1:])
         three = np.concatenate((known[:-1] & known[1:] & self.triples[self.pair(two[:-1], ids[2:])], [False])) if len(ids) > 2 else known & False
@@ -164,7 +197,6 @@ class Index:
         fewest = min(two for two, _ in self.need.values())
         count = sums[0][np.minimum(np.arange(last + 1) + span - 1, last)] - sums[0]
         spots = np.flatnonzero(count >= fewest)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
         for n in self.by_length if len(spots) else ():
             d = self.edits(n)
             live = spots
@@ -173,7 +205,6 @@ class Index:
                 live = live[total[until] - total[live] >= need]
             for i in range(0, len(live), 1 << 14):
                 self._verify(n, d, live[i : i + (1 << 14)], ids, starts, best)
-        return [(doc, k, edits, end) for (doc, k), (edits, end) in sorted(best.items())]
 
     def _verify(self, n, d, live, ids, starts, best) -> None:
         padded = np.concatenate([ids, np.zeros(n + 5 * d + 2, np.int64)])
@@ -200,31 +231,33 @@ class Index:
                 best[doc, k] = min(best.get((doc, k), new), new)
 
 
-def _blocks(items: list[tuple[int, list[str]]]) -> list[list]:
-    out, size = [[]], 0
+def _blocks(items: Iterator[tuple[int, list[str]]]) -> Iterator[list]:
+    """The items in blocks of at most BLOCK_WORDS words, one block at least."""
+    block, size, first = [], 0, True
     for item in items:
-        if size + len(item[1]) > BLOCK_WORDS and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append(item)
+        if block and size + len(item[1]) > BLOCK_WORDS:
+            yield block
+            block, size, first = [], 0, False
+        block.append(item)
         size += len(item[1])
-    return out
+    if block or first:
+        yield block
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, min_words: int = MIN_WORDS) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, min_words: int = 1) -> DataFrame:
     """(doc_id, item_id, end_word, n_words, edits, similarity) of each document row and item that match.
 
     edits is that of the best stretch found, end_word the number of the words up to its end, n_words the item's
-    words, similarity 1 - edits / n_words. Items with null or fewer than min_words words match nothing; items
-    with the same words each match; of items with one item_id, each counts. Null and empty texts match nothing.
+    words, similarity 1 - edits / n_words. Items without words, or with fewer than min_words, match nothing; a caller may
+    pass over short ones by n_words. Items with the same words each match; of items with one item_id, each counts. Null and empty texts match nothing.
     Repeated document rows each give their rows. Candidate search is by LSH (a measured recall above 0.99 on passages with up to the most
     edits, and certain for exact copies); what is returned is verified.
     """
     spark = documents.sparkSession
-    items = [(r.item_id, normal_words(r.text)) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator()]
-    items = sorted(((i, w) for i, w in items if len(w) >= min_words), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    found = [_scan(spark, documents, block, max_edits) for block in _blocks(items)]
-    return reduce(DataFrame.unionByName, found)
+    text_batches(spark)
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator()  # a partition at a time
+    items = ((r.item_id, w) for r in rows if len(w := normal_words(r.text)) >= max(1, min_words))
+    return reduce(DataFrame.unionByName, [_scan(spark, documents, block, max_edits) for block in _blocks(items)])
 
 
 def _scan(spark: SparkSession, documents: DataFrame, items: list, max_edits: float) -> DataFrame:
@@ -233,7 +266,7 @@ def _scan(spark: SparkSession, documents: DataFrame, items: list, max_edits: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         words = Words(index.numbers)
-        for batch in batches:
+        for batch in bounded(batches):
             rows, docs, owners, size = [], [], [], 0
             texts = batch["text"].to_pylist()
             for r, text in enumerate(texts):
