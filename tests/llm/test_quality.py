@@ -1,5 +1,7 @@
+import math
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.llm import quality as m
@@ -43,3 +45,38 @@ def test_nulls_repeats_clashes_long_and_empty(spark):
     assert m.score(docs.limit(0), m.train(docs, none)).collect() == []
     one = spark.createDataFrame([(2, 1), (2, None), (None, 0)], "doc_id long, quality int")
     assert {r.score for r in m.score(docs, m.train(docs, one)).collect()} in ({1.0}, {0.5})
+
+
+def test_vectors_pooling_and_network_equal_plain_python():
+    """Every sum by loops over Python floats: index vectors, contexts two words apart, means, and the network's score."""
+    rng = np.random.default_rng(3)
+    dims, signs = m.index_entries()
+    texts = ["the cat sat on the mat", "A b\nA b\n99 bottles!!! ####", "one", "", None, "w " * 40]
+    context, codes, sums = m.Context(), m.Codes(), {}
+    own = lambda w: [sum(float(signs[w, j]) for j in range(m.NONZERO) if dims[w, j] == d) for d in range(m.DIM)]
+    for t in texts:
+        for ids in m.word_ids(t, codes)[:2]:
+            context.add(ids)
+            for i, w in enumerate(ids.tolist()):
+                for k in (i - 2, i - 1, i + 1, i + 2):
+                    if 0 <= k < len(ids):
+                        sums[w] = [a + b for a, b in zip(sums.get(w, [0.0] * m.DIM), own(int(ids[k])))]
+    vectors = context.vectors()
+
+    def vector(w):
+        around = sums.get(w, [0.0] * m.DIM)
+        size = max(1e-9, sum(x * x for x in around) ** 0.5)
+        return [a / m.NONZERO**0.5 + 0.5 * b / size for a, b in zip(own(w), around)]
+
+    model = m.Model(vectors, rng.normal(size=m.DIM), rng.random(m.DIM) + 0.5, rng.normal(size=(m.DIM, m.HIDDEN)), rng.normal(size=m.HIDDEN), rng.normal(size=m.HIDDEN), 0.3, 1.7, None)
+    for t in texts:
+        parts = m.word_ids(t, codes)
+        words = [w for p in parts for w in p.tolist()]
+        n = max(1, len(parts[0]))
+        pooled = [sum(vector(w)[d] for w in words) / n for d in range(m.DIM)]
+        got, tokens = m.pool(parts, vectors)
+        assert tokens == n and np.allclose(got, pooled, atol=1e-4)
+        x = [(p - float(mu)) * (n / (n + m.SHRINK)) / float(sd) for p, mu, sd in zip(pooled, model.mean, model.std)]
+        hidden = [math.tanh(sum(x[d] * float(model.w1[d, h]) for d in range(m.DIM)) + float(model.b1[h])) for h in range(m.HIDDEN)]
+        z = sum(a * float(b) for a, b in zip(hidden, model.w2)) + model.b2
+        assert abs(model.score(np.array([got]), np.array([float(n)]))[0] - 1 / (1 + math.exp(-z / model.temperature))) < 1e-4
