@@ -2,6 +2,10 @@
 
 STAGES: quality classifier, line dedup, SimHash near-dedup, benchmark decontamination, byte-level BPE. Each
 function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Null texts are judged as empty ones; after line dedup they are empty. Null doc_ids stay in every stage. Rows of one doc_id
+are one document: they stay or go together where a stage decides by document. Other columns pass unread; n_chars follows the
+text. An empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -16,9 +20,12 @@ ORACLE_SQL = None
 #: Ids to leave out travel to the tasks up to this many (8 bytes each); beyond it they meet the documents in a join.
 MAX_IDS = 4_000_000
 
+#: Benchmark items of fewer words don't make a document a leak: any text may hold a word or two.
+MIN_WORDS = 5
+
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id is in gone(doc_id); null doc_ids stay."""
+    """docs but for the rows whose doc_id is in gone(doc_id); null doc_ids stay. Rows of one doc_id go together, whatever their texts."""
     gone, _ = materialize(gone.filter("doc_id is not null").distinct(), "gone")
     few = gone.count() <= MAX_IDS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
@@ -44,8 +51,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, nor a passage within the edit distance of one."""
-    return without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Documents that hold no benchmark item of MIN_WORDS words or more, nor a passage within the edit distance of one."""
+    return without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), min_words=MIN_WORDS).select("doc_id"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
