@@ -239,6 +239,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         best = best.unionByName(m)
     if more:
         best = _top(best, k)
+    else:
+        discard(spark, kept_path, asked_path)
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,72 +1,28 @@
-"""What the operators share: tables, the shared folder, and materializing without lineage."""
+"""What the operators share: tables, and the memory of Python workers."""
 from __future__ import annotations
 
-import atexit
-import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.sources.shared import discard, materialize  # noqa: F401  the operators take them from here
+
 WHITE = " \t\n\x0b\x0c\r"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_OWN: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one where that is unset and the master is local."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="plumbline-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder, which goes when the driver ends; a result may read tables there until then."""
-    path = f"{shared_dir(spark)}/plumbline/{spark.sparkContext.applicationId}"
-    if path not in _OWN:
-        _OWN.add(path)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        atexit.register(_remove, folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder)
-    return path
-
-
-def _remove(system, folder) -> None:
-    with contextlib.suppress(Exception):  # the JVM may have ended before
-        system.delete(folder, True)
-
-
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lowers the session's Arrow batches, unless they were set: 10,000 whole texts are too much for a worker's and a JVM's buffers."""
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(rows))
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df written as Parquet to the shared folder and read again, which cuts its lineage; and the path."""
-    spark = df.sparkSession
-    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete materialized tables that nothing reads any more."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def give_back() -> None:
     """Ends a task in a Python worker: the worker stays for the next one, and what the task has freed would stay with it."""
     pa.default_memory_pool().release_unused()

@@ -3,9 +3,10 @@
 Words are runs of letters and digits, lower-cased; shingles are SHINGLE words. A document is cut into overlapping
 windows of WINDOW shingles, STRIDE apart, and each window gets BANDS MinHash values (one row a band), so that two
 windows of Jaccard similarity s share a band with a chance of 1 - (1 - s) ** BANDS: 0.9999 at 0.8 and 0.98 at 0.5.
-A template has windows at every place, so that some document window lines up with a copy's wherever it stands. A
+A template has windows at every place; some document window lies whole inside a copy of WINDOW + STRIDE - 1 = 23 shingles or
+more wherever it stands, and one of 16 to 22 shares 9 shingles with a document window at least. A
 template too short for a window has windows of one shingle, whose MinHash is the shingle's hash (of all its words,
-if it has fewer than SHINGLE). A document that shares no band with any template leaves in the scan; for the others
+if it has fewer than SHINGLE): for these a band is a lookup. A document that shares no band with any template leaves in the scan; for the others
 each shared band gives a place, and there the exact share of the template's distinct shingles is taken.
 
 Scanning is one pass without a shuffle; only verified matches are grouped, by document. Templates are the query
@@ -23,7 +24,7 @@ from plumbline.llm.common import discard, materialize, table
 NAME = "op1_license_scan"
 SHINGLE, WINDOW, STRIDE, BANDS, LEAST, BLOCK_KEYS = 5, 16, 8, 6, 0.8, 4000
 _rng = random.Random(17)
-SEEDS = [_rng.getrandbits(63) for _ in range(BANDS)]
+SEEDS = [_rng.getrandbits(64) - (1 << 63) for _ in range(BANDS)]  # of all 64 bits, so that bands differ in the sign too
 
 #: Fixed values: (template, license, text) of common notices and license texts.
 TEMPLATES = (
