@@ -1,6 +1,11 @@
-"""Groups of near copies: texts connected by pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""SimHash near-dedup to a similarity: groups of texts connected by pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-The join is exact. Under any one order of all shingles, two sets of that similarity share one of the first
+Covering LSH (`simhash.links`) over SimHash fingerprints of the five-word shingles brings together all texts whose
+fingerprints differ by at most RADIUS bits. No radius that masks can cover holds every pair of that similarity (at 0.8, 10 of 64 bits
+differ on average), so an exact join of shingle prefixes adds the pairs beyond it, and each pair of either way counts
+only if the whole sets are as similar: no link is lost, and none is made by chance.
+
+Under any one order of all shingles, two sets of that similarity share one of the first
 n - ceil(0.8 n) + 1 shingles of each, so only these prefixes are brought together. What two texts share beyond their
 prefixes is at most what one of them has left, so a pair must share a number of prefix shingles (`_enough`); pairs
 that do are compared by their whole sets. Frequent shingles come last in the order, which keeps the meetings small;
@@ -19,10 +24,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.llm.common import discard, materialize
+from plumbline.llm.common import bounded, discard, materialize, text_batches
 from plumbline.llm.components import components
+from plumbline.llm.simhash import links, majority
 
-WORDS, SEED = 5, 42
+WORDS, SEED, RADIUS = 5, 42, 2
 SAMPLE, LISTED = 10_000, 300_000  # texts whose shingles are counted for the order; frequent shingles it lists
 MAX_IDS = 4_000_000  # ids travel to the texts up to this many; beyond it they meet in a join
 
@@ -51,19 +57,22 @@ def prefix(own: np.ndarray, listed: np.ndarray, counts: np.ndarray) -> np.ndarra
     return own[np.lexsort((own, often))[: n - (4 * n + 4) // 5 + 1]]
 
 
+def _batch(ids, own: list[np.ndarray], out: list[np.ndarray]) -> pa.RecordBatch:
+    hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out)))
+    codes = pa.array([majority(x.view(np.uint64)) for x in own], pa.int64())
+    return pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in own], pa.int32()), codes, hashes], ["id", "n", "fp", "hashes"])
+
+
 def _sets(texts: DataFrame, listed: np.ndarray | None = None, counts: np.ndarray | None = None) -> DataFrame:
-    """(id, n, hashes) of texts(id, text): whole sets, or prefixes where the order is given."""
+    """(id, n, fp, hashes) of texts(id, text): whole sets, or prefixes where the order is given; fp is the sets' SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                own = [shingles(t.as_py()) for t in part["text"]]
-                out = own if listed is None else [prefix(x, listed, counts) for x in own]
-                hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out)))
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(x) for x in own], pa.int32()), hashes], ["id", "n", "hashes"])
+        for part in bounded(batches, 256, 2 << 20):
+            own = [shingles(t.as_py()) for t in part["text"]]
+            yield _batch(part["id"], own, own if listed is None else [prefix(x, listed, counts) for x in own])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n int, hashes array<long>")
+    text_batches(texts.sparkSession)
+    return texts.select("id", "text").mapInArrow(run, "id long, n int, fp long, hashes array<long>")
 
 
 def _order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +85,15 @@ def _order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
+def _covered(firsts: DataFrame) -> DataFrame:
+    """(a, b, lo, hi): each text and the first of its fingerprint, and the firsts of fingerprints within RADIUS bits."""
+    codes, path = materialize(firsts.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("size")), "copies-codes")
+    same = firsts.join(codes.filter("size > 1").select("fp", F.col("f.id").alias("f_id"), F.col("f.n").alias("f_n")), "fp").filter("id <> f_id").select(*_pair("f_id", "id", "f_n", "n"))
+    one, two = (codes.select(F.col("fp").alias(x), F.col("f.id").alias(f"id_{x}"), F.col("f.n").alias(f"n_{x}")) for x in "ab")
+    near = links(codes.select("fp"), RADIUS).join(one, "a").join(two, "b").select(*_pair("id_a", "id_b", "n_a", "n_b"))
+    return same.unionByName(near)
+
+
 def _enough(pairs: DataFrame) -> DataFrame:
     """The pairs(a, b) of rows (a, b, lo, hi), a row for each prefix shingle they share, that may reach 0.8; lo and hi are their sizes.
 
@@ -84,16 +102,18 @@ def _enough(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b", "lo", "hi").agg(F.count("*").alias("k")).filter("k >= (4 * (lo + hi) + 8) div 9 - ((4 * hi + 4) div 5 - 1)").select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs(a, b) whose whole sets have a Jaccard similarity of 0.8 or more: 9 shared >= 4 (n + m)."""
-    members, _ = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "copies-members")
+def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The pairs(a, b) whose whole sets have a Jaccard similarity of 0.8 or more (9 shared >= 4 (n + m)), stored; and the path."""
+    members, members_path = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "copies-members")
     few = members.count() <= MAX_IDS
-    own = texts.join(F.broadcast(members) if few else members, "id", "left_semi").dropDuplicates(["id"])
-    sets, _ = materialize(_sets(own), "copies-sets")
+    own = texts.join(F.broadcast(members) if few else members, "id", "left_semi")
+    sets, sets_path = materialize(_sets(own).groupBy("id").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "copies-sets")
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("h_a"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("h_b"))
     both = pairs.join(one, "a").join(two, "b")
-    return both.filter(9 * F.size(F.array_intersect("h_a", "h_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    found, path = materialize(both.filter(9 * F.size(F.array_intersect("h_a", "h_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"), name)
+    discard(texts.sparkSession, members_path, sets_path)
+    return found, path
 
 
 def _pair(x: str, y: str, n: str, m: str) -> list:
@@ -107,23 +127,24 @@ def near_copies(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
-    firsts, firsts_path = materialize(_sets(texts, *_order(texts)).groupBy("id").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "copies-firsts")
+    firsts, firsts_path = materialize(_sets(texts, *_order(texts)).groupBy("id").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("hashes").alias("hashes")), "copies-firsts")
     spots = firsts.select("id", "n", F.explode("hashes").alias("h"))
     row = Window.partitionBy("h").orderBy("n", "id")
     spots = spots.select("h", "id", "n", F.lag("id").over(row).alias("p"), F.lag("n").over(row).alias("p_n"), F.lead("id").over(row).alias("q"), F.first("id").over(row).alias("f"), F.first("n").over(row).alias("f_n"))
     met, met_path = materialize(spots.filter("p is not null or q is not null").drop("q"), "copies-met")
     beside = met.filter("p is not null").select(*_pair("p", "id", "p_n", "n")).unionByName(met.filter("f <> id and f <> p").select(*_pair("f", "id", "f_n", "n")))
-    tried, tried_path = materialize(_enough(beside.filter("5 * lo >= 4 * hi")), "copies-tried")
-    found, found_path = materialize(_verified(tried, texts), "copies-links")
+    similar_sizes = "5 * lo >= 4 * hi"
+    tried, tried_path = materialize(_enough(beside.filter(similar_sizes)).unionByName(_covered(firsts).filter(similar_sizes).select("a", "b")).distinct(), "copies-tried")
+    found, found_path = _verified(tried, texts, "copies-links")
     group = components(found).select(F.col("node").alias("id"), F.col("component").alias("g"))
     rest = met.select("h", "id", "n").join(group, "id", "left").select("h", "id", "n", F.coalesce("g", "id").alias("g"))
     mixed = rest.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("h")
     rest, rest_path = materialize(rest.join(mixed, "h", "left_semi"), "copies-rest")
     x, y = (rest.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "g")]) for side in "xy")
-    apart = x.join(y, "h").filter("id_x < id_y and g_x <> g_y").select(*_pair("id_x", "id_y", "n_x", "n_y")).filter("5 * lo >= 4 * hi")
+    apart = x.join(y, "h").filter("id_x < id_y and g_x <> g_y").select(*_pair("id_x", "id_y", "n_x", "n_y")).filter(similar_sizes)
     more, more_path = materialize(_enough(apart).join(tried, ["a", "b"], "left_anti"), "copies-more")
-    links, _ = materialize(found.unionByName(_verified(more, texts)), "copies-all-links")
-    named = components(links).select(F.col("node").alias("id"), "component")
-    discard(spark, firsts_path, met_path, tried_path, found_path, rest_path, more_path)
+    others, others_path = _verified(more, texts, "copies-more-links")
+    named = components(found.unionByName(others)).select(F.col("node").alias("id"), "component")
+    discard(spark, firsts_path, met_path, tried_path, found_path, rest_path, more_path, others_path)
     of = texts.select("doc_id", "id").join(named, "id", "left").select("doc_id", "id", F.coalesce("component", "id").alias("component"))
     return of.join(of.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "id", "component_id")

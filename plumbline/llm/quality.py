@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.llm.common import table
+from plumbline.llm.common import bounded, table, text_batches
 
 NAME = "op10_quality"
 BUCKETS, DIM, NONZERO, HIDDEN, MAX_TRAIN, SHRINK = 1 << 14, 64, 4, 24, 6000, 30
@@ -47,7 +47,7 @@ class Codes(dict):
     """token -> shape's bucket * BUCKETS + core's bucket, remembered for up to a bounded number of tokens."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 120_000:
             self.clear()
         code = _bucket("\x00" + shape(token)) * BUCKETS + _bucket(_CORE.sub("", token).lower())
         if len(token) <= 64:
@@ -185,9 +185,10 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
     texts = documents.select(F.col("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # at most max_train rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["quality"].to_pylist()))
+        rows = (r for b in bounded(batches) for r in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["quality"].to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows), 5)], pa.binary())], ["model"])
 
+    text_batches(documents.sparkSession)
     kept = texts.repartition(1)  # the sample is bounded
     found = kept.mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0].model) if found else fit(iter(()))
@@ -205,11 +206,12 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, codes = shared.value, Codes()
-        for batch in batches:
+        for batch in bounded(batches):
             pooled = [pool(word_ids(t.as_py(), codes), model.vectors) for t in batch["text"]]
             s = model.score(np.array([x for x, _ in pooled], np.float32).reshape(len(pooled), -1), np.array([n for _, n in pooled], float))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
+    text_batches(documents.sparkSession)
     return kept.mapInArrow(run, schema)
 
 

@@ -9,8 +9,9 @@ larger one, each fingerprint instead goes to the points around it, its 64 one-bi
 any two fingerprints within two bits share. Such a meeting holds 65 at most, so no group of any size comes
 together in one task, and no pairs are enumerated. That is exact for a radius of up to 2, the contract's.
 
-A wider radius (`near_groups`) has no such meetings: there a large bucket is dealt into blocks of about BLOCK, and each
+A radius above 2 has no such meetings: there a large bucket is dealt into blocks of about BLOCK, and each
 two blocks are compared by a task of their own. That is exact too, and takes the square of the bucket in comparisons.
+Near copies of a five-word similarity, which no radius bounds, are `near_copies`, which takes its first links from here.
 """
 from __future__ import annotations
 
@@ -22,12 +23,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import materialize, table
+from plumbline.llm.common import bounded, discard, materialize, table, text_batches
 from plumbline.llm.components import components
 
 NAME = "op9_simhash"
 WORDS, RADIUS, SEED, SMALL = 3, 2, 42, 8
-GROUP_RADIUS, GROUP_SMALL = 6, 32
 BLOCK = 512
 
 
@@ -45,7 +45,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist())]
-    h = np.array(hashes, np.uint64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes, as a signed integer; zero for none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -56,10 +60,11 @@ def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             fp = [fingerprint(t.as_py(), words) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
+    text_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
@@ -77,7 +82,7 @@ def masks(radius: int, bits: int = 64) -> list[int]:
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
-    """(a, b): links between distinct fingerprints of nodes(fp) that connect all within the radius, and no others.
+    """(a, b): links between distinct fingerprints of nodes(fp) that connect all within the radius, and no others; a stored table.
 
     Pairs may repeat; up to a radius of 2, all around a crowded point are linked to the smallest there, which is
     enough to connect them (each is within two bits of it); above, every pair is linked.
@@ -101,7 +106,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFra
         around = [F.lit(0)] + [F.lit(-(1 << 63) if i == 63 else 1 << i) for i in range(64)]
         meet = crowd.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(x.cast("long")) for x in around])).alias("at"))
         found.append(meet.groupBy("at").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1).select("a", F.explode("all").alias("b")))
-    return reduce(DataFrame.unionByName, found).filter((F.col("a") != F.col("b")) & near(F.col("a"), F.col("b")))
+    out, _ = materialize(reduce(DataFrame.unionByName, found).filter((F.col("a") != F.col("b")) & near(F.col("a"), F.col("b"))), "fingerprint-links")
+    discard(nodes.sparkSession, path)
+    return out
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
@@ -119,11 +126,6 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADI
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_groups(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) with the wide radius: groups of exact and near copies."""
-    return near_duplicates(documents, WORDS, GROUP_RADIUS, GROUP_SMALL)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

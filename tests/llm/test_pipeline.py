@@ -1,12 +1,11 @@
-import random
-
 import public_tokenizers as P
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from plumbline.llm import bpe, common, decontaminate, line_dedup, quality, simhash
+from plumbline.llm import bpe, common, decontaminate, line_dedup, quality
+from test_near_copies import brute_groups
 
 D = "/root/testdata/sf0.01"
 
@@ -54,21 +53,9 @@ def test_line_stage(stages):
 
 
 def test_near_duplicate_stage(stages):
+    """One document, the first, of each group connected by five-word similarities of 0.8 or more."""
     before, after = (texts(x) for x in stages[2])
-    fps = {i: simhash.fingerprint(t) % 2**64 for i, t in before.items()}
-    group = {i: i for i in fps}
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    ids = sorted(fps)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= simhash.GROUP_RADIUS and (x := root(a)) != (y := root(b)):
-                group[max(x, y)] = min(x, y)
-    assert set(after) == {root(i) for i in ids} and len(after) < len(before)
+    assert set(after) == set(brute_groups(before).values()) and len(after) < len(before)
 
 
 def test_leak_stage(spark, stages):
@@ -85,6 +72,21 @@ def test_token_stage(stages):
     assert all(r.n_tokens == len(own.encode_ordinary(before[r.doc_id])) for r in after)
 
 
+def test_run_on_empty_null_and_repeated_rows(spark, tmp_path):
+    """Repeated rows are one document, null and empty texts one text; an empty table gives an empty result."""
+    for name in ("labels", "benchmark"):
+        common.table(spark, D, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    documents = common.table(spark, D, "documents")
+    good = common.table(spark, D, "labels").filter("quality = 1").limit(3)
+    some = documents.join(good, "doc_id", "left_semi")
+    odd = spark.createDataFrame([(-1, None, "en", "x", 0), (-2, "", "en", "x", 0), (None, None, "en", "x", 0)], documents.schema)
+    for rows, empty in ((some.union(some).union(odd), False), (documents.limit(0), True)):
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = cp.run(spark, str(tmp_path)).collect()
+        assert all(r.text is not None and r.n_tokens >= 0 for r in got)
+        assert bool(got) != empty and len(got) == len({r.doc_id for r in got}) * (1 if empty else 2) - sum(r.doc_id in (-1, -2, None) for r in got)
+
+
 def test_without(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
     gone = spark.createDataFrame([(1,), (None,)], "doc_id long")
