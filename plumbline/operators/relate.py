@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 #: A policy table up to this many rows travels to the data; a larger one meets it as Spark chooses.
@@ -79,6 +79,19 @@ def agreement(instances: DataFrame, keys: list[str], identity: str) -> DataFrame
     return g.select(*keys, quality.alias("quality"), F.when((F.col("n") == 1) & ~F.col("missing"), F.col("identity")).alias("identity"))
 
 
+def capped_sets(rows: DataFrame, keys: list[str], value: str, cap: int) -> DataFrame:
+    """keys, n, values and known: each group's distinct values, sorted, if they are at most `cap`; with more the set is unknown.
+
+    Distinct values meet once each, and a group keeps no more than one over the cap, so no group is gathered whole.
+    """
+    each = rows.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    least = each.withColumn("_r", rank).filter(F.col("_r") <= cap + 1).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_all"))
+    out = rows.select(*keys).distinct().join(least, keys, "left").withColumn("n", F.coalesce(F.size("_all"), F.lit(0)))
+    known = F.col("n") <= cap
+    return out.select(*keys, F.when(known, F.coalesce("_all", F.array().cast(rows.select(F.array(value).alias("a")).schema["a"].dataType))).alias("values"), known.alias("known"))
+
+
 def union_rules(rules: list[DataFrame]) -> DataFrame:
     """Findings of rules in their fixed order, with rule_ord."""
     return reduce(DataFrame.unionByName, [r.withColumn("rule_ord", F.lit(i)) for i, r in enumerate(rules)])

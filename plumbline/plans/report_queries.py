@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions import predicates as P
-from plumbline.operators import capability as C, explain as X, report as O, worlds as W
+from plumbline.operators import capability as C, explain as X, relate as R, report as O, repository as RP, worlds as W
 from plumbline.plans import driver_queries as D, facts, policy_queries as PQ
 from plumbline.plans.driver_queries import register
 
@@ -106,3 +106,49 @@ SELECT page_id, CASE WHEN starts_with(path, '/') OR contains(path, '\\') OR list
 def repository_paths(spark: SparkSession, d: str) -> DataFrame:
     """Paths in their normal form, null for those that leave their root."""
     return D.table(spark, d, "pages").select("page_id", P.relative_path(F.regexp_replace("url", "^[a-z]+://", "")).alias("path"))
+
+
+@register("worst_quality", f"WITH x AS {facts.table('facts')} SELECT path, CASE max(CASE quality WHEN 'exact' THEN 0 WHEN 'conservative' THEN 1 ELSE 2 END) WHEN 0 THEN 'exact' WHEN 1 THEN 'conservative' ELSE 'unresolved' END AS quality FROM x GROUP BY 1")
+def worst_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The worst quality of each file's facts."""
+    return facts.rows(spark, d, "facts").groupBy("path").agg(P.worst_quality(F.col("quality")).alias("quality"))
+
+
+@register("capped_sets", f"""
+WITH x AS {facts.table("facts")}, s AS (SELECT path, list_sort(list(DISTINCT name)) AS v FROM x GROUP BY 1) SELECT path, CASE WHEN len(v) <= 30 THEN v END AS values, len(v) <= 30 AS known FROM s
+""")
+def capped_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Names that a file's facts use, unknown where they are too many."""
+    return R.capped_sets(facts.rows(spark, d, "facts"), ["path"], "name", 30)
+
+
+@register("indexed_sources", f"WITH f AS {facts.table('files')} SELECT path FROM f WHERE NOT starts_with(path, 'crates/building/') AND NOT regexp_matches(path, '^crates/[^/]*/src/n1[^/]/')")
+def indexed_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Source files outside the exclusions."""
+    path = F.col("path")
+    return facts.rows(spark, d, "files").filter(RP.indexed_source(path, []) & ~RP.excluded(path, ["crates/building", "crates/*/src/n1?/**"])).select("path")
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """Files, the folders above them as directories, and one symlink for each file of the fifth nation."""
+    files = facts.rows(spark, d, "files").select("path")
+    parts = F.split("path", "/")
+    above = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path")).distinct()
+    links = files.filter("path like '%/n5/%'").select(F.concat(F.lit("links/"), F.regexp_replace("path", "/", "_")).alias("path"), F.lit("symlink").alias("kind"), F.col("path").like("%crates/building/%").alias("inside"))
+    return files.select("path", F.lit("file").alias("kind"), F.lit(None).cast("boolean").alias("inside")).unionByName(above.select("path", F.lit("directory").alias("kind"), F.lit(None).cast("boolean").alias("inside"))).unionByName(links)
+
+
+@register("repository_rules", f"""
+WITH f AS {facts.table("files")}, t AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM f), l AS (SELECT 'links/' || replace(path, '/', '_') AS path, contains(path, 'crates/building/') AS inside FROM f WHERE contains(path, '/n5/'))
+SELECT 'REP-001' AS id, 'repository.roots' AS rule, 'tools' AS path, 'declared repository root "tools" does not exist' AS message
+UNION ALL SELECT 'REP-006', 'repository.exclude', NULL, 'repository exclusion "gen/**" matches no path'
+UNION ALL SELECT 'REP-004', 'repository.symlinks', path, 'symlink escapes or is denied by the repository boundary' FROM l WHERE NOT inside
+UNION ALL SELECT 'REP-005', 'repository.symlinks', path, 'symlink aliases architecture input that cannot be indexed exactly' FROM l WHERE inside
+UNION ALL SELECT 'OWN-001', 'nation', path, 'directory "' || path || '" is outside its declared owner' FROM t WHERE regexp_matches(path, '/n7$') AND path <> 'crates/building/src/n7'
+UNION ALL SELECT 'OWN-002', 'nation', 'gone', 'owner policy names missing directory "gone"'
+""")
+def repository_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Roots, exclusions, symlinks and directory owners."""
+    policy = {"roots": ["crates", "tools"], "exclude": ["gen/**", "crates/**"], "symlinks": "inside"}
+    owners = [{"name": "nation", "kind": "Directory", "selector": "**/n7", "allow": ["crates/building/src/n7", "gone"]}]
+    return PQ.shown(RP.repository_findings(_entries(spark, d), policy, owners))
