@@ -262,17 +262,22 @@ def entries(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, ENTRY)
 
 
-def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(kind_ord, kind, rail, subject, message, before, after) of two tables of entries; equal values give no row, repeated entries count once."""
-    spark = before.sparkSession
-    rails = F.broadcast(spark.createDataFrame(list(RAILS), RAIL_COLUMNS))
+def owned_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(key, subject, before, r0, had, after, r1, has) of the entries of either side whose parent, if they name one, both sides have."""
     a, b = (x.dropDuplicates(["key", "subject"]) for x in (before, after))
     both = a.select("key", "subject", F.col("value").alias("before"), F.col("rank").alias("r0"), F.col("parent").alias("p0"), F.lit(True).alias("had")).join(
         b.select("key", "subject", F.col("value").alias("after"), F.col("rank").alias("r1"), F.col("parent").alias("p1"), F.lit(True).alias("has")), ["key", "subject"], "full_outer")
     name = lambda x: x.select(F.concat_ws(":", "key", "subject").alias("parent")).union(x.filter("value is not null").select(F.concat(F.col("key"), F.lit(":"), F.col("subject"), F.lit("="), F.col("value")))).union(x.filter("key = 'world.mode'").select(F.concat(F.lit("world.mode:"), F.col("value"))))
     owned = name(a).intersect(name(b))  # parents that both sides have
     both = both.withColumn("parent", F.coalesce("p0", "p1"))
-    free = both.filter("parent is null").unionByName(both.filter("parent is not null").join(owned, "parent", "left_semi"))
+    return both.filter("parent is null").unionByName(both.filter("parent is not null").join(owned, "parent", "left_semi"))
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(kind_ord, kind, rail, subject, message, before, after) of two tables of entries; equal values give no row, repeated entries count once."""
+    spark = before.sparkSession
+    rails = F.broadcast(spark.createDataFrame(list(RAILS), RAIL_COLUMNS))
+    free = owned_rows(before, after)
     row = free.join(rails, "key")
     up, down = F.col("r1") > F.col("r0"), F.col("r1") < F.col("r0")
     by_rank = lambda kind, rank, more, less: F.when(F.col(kind) == "by rank", F.when(F.col(rank) > 0, more).otherwise(less)).otherwise(F.col(kind))

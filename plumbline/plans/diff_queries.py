@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.operators import diff as D
+from plumbline.operators import diff as D, lock_drift as L
 from plumbline.plans import facts
 from plumbline.plans.driver_queries import register
 
@@ -34,6 +34,23 @@ def architecture_changes(spark: SparkSession, d: str) -> DataFrame:
     return D.sort_changes(_changes(spark, d)).drop("kind_ord")
 
 
+_DRIFT = """SELECT CASE WHEN NOT had THEN '{a}' WHEN NOT has THEN '{r}' ELSE '{c}' END AS id, '{rule}' AS rule, CASE WHEN NOT had THEN {ta} WHEN NOT has THEN {tr} ELSE {tc} END AS message FROM k WHERE key = '{key}' AND (had <> has OR ({c_on} AND before IS DISTINCT FROM after))"""
+_Q = "'\"' || subject || '\"'"
+
+
+@register("lock_drift", f"WITH {_CHANGES} " + " UNION ALL ".join(_DRIFT.format(key=k, rule=r, a=a, r=m, c=c, ta=ta, tr=tr, tc=tc, c_on=str(c != "-").lower()) for k, r, a, m, c, ta, tr, tc in (
+    ("lock.package", "lock.package", "LOCK-003", "LOCK-004", "-", f"'workspace package ' || {_Q} || ' is not reviewed in the lock'", f"'the lock retains stale workspace package ' || {_Q}", "''"),
+    ("lock.edge", "lock.dependency-edge", "LOCK-005", "LOCK-006", "-", "'resolved dependency edge ' || subject || ' is not reviewed in the lock'", "'the lock retains stale dependency edge ' || subject", "''"),
+    ("lock.ratchet", "lock.ratchet", "LOCK-009", "LOCK-007", "LOCK-010", f"'repository ratchet ' || {_Q} || ' is not reviewed in the lock'", f"'the lock retains stale ratchet ' || {_Q}", f"'ratchet ' || {_Q} || ' records ' || before || ' but repository resolves to ' || after"),
+    ("lock.gate", "lock.qualification-gate", "LOCK-014", "LOCK-015", "LOCK-016", f"'qualification gate ' || {_Q} || ' has no reviewed digest in the lock'", f"'the lock retains stale qualification gate ' || {_Q}", f"'reviewed qualification gate ' || {_Q} || ' changed'"),
+    ("lock.gate.input", "lock.qualification-gate", "LOCK-024", "LOCK-025", "LOCK-026", f"'qualification gate input ' || {_Q} || ' has no reviewed digest in the lock'", f"'qualification gate input ' || {_Q} || ' is retained stale in the lock'", f"'qualification gate input ' || {_Q} || ' changed after review'"),
+)))
+def lock_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of a lock against what the repository comes to."""
+    own = facts.rows(spark, d, "entries")
+    return L.drift(own.filter("side = 'before'").drop("side"), own.filter("side = 'after'").drop("side")).select("id", "rule", "message")
+
+
 @register("change_kinds", f"WITH {_CHANGES} SELECT " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}')::BIGINT AS {n}" for k, n in (("grant", "grants"), ("revoke", "revokes"), ("debt", "debt"), ("cleanup", "cleanup"), ("neutral", "neutral"), ("unknown", "unknown"))) + " FROM c")
 def change_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Counts of the six kinds (A4)."""
