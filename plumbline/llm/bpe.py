@@ -26,17 +26,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.llm.common import give_back, table
+from plumbline.llm.common import bounded, give_back, table, text_batches
 
 NAME = "op5_bpe"
-CACHE, WORDS_AT_ONCE, CHARS_AT_ONCE, TOKENS_AT_ONCE = 100_000, 10_000, 1_000_000, 200_000
+CACHE, WORDS_AT_ONCE, CHARS_AT_ONCE, TOKENS_AT_ONCE = 60_000, 4_000, 250_000, 100_000
 
 #: Bytes of a long word that are contracted together, and how many of these chunks are at a time.
 CHUNK, CHUNKS_AT_ONCE = 32, 2048
 
 #: The rounds that one recursive query makes; the words that still have pairs then go into the next query.
 ROUNDS = 64
-ROWS_AT_ONCE = 1000
 
 _CONTRACT = f"""
 WITH RECURSIVE s(w, toks, step) AS (
@@ -247,12 +246,10 @@ def _codec(shared) -> Codec:
 
 
 def forget() -> None:
-    """Ends a task: the worker stays, and what it remembers of words would stay with it."""
+    """Ends a task: the worker stays for other work, and what it remembers of words, and DuckDB's memory, would stay with it."""
     for codec in _CODECS.values():
-        codec.words.clear()
-        codec.chunks.clear()
-        codec.parts.clear()
-    give_back()
+        codec.con.close()
+    _CODECS.clear()
 
 
 def _share(spark: SparkSession, vocabulary: str):
@@ -265,14 +262,14 @@ def _add(df: DataFrame, names: list[str], run) -> DataFrame:
     schema = T.StructType([*kept.schema.fields, *[T.StructField(n, T.BinaryType()) for n in names]])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(i, ROWS_AT_ONCE)
-                new = run(part)
-                yield pa.RecordBatch.from_arrays([*[part[n] for n in kept_names], *[pa.array(x, pa.binary()) for x in new]], [*kept_names, *names])
+        for part in bounded(batches):
+            new = run(part)
+            yield pa.RecordBatch.from_arrays([*[part[n] for n in kept_names], *[pa.array(x, pa.binary()) for x in new]], [*kept_names, *names])
         forget()
+        give_back()
 
     kept_names = kept.columns
+    text_batches(df.sparkSession)
     return df.select(*kept_names).mapInArrow(over, schema)
 
 
@@ -299,9 +296,11 @@ def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
     kept = T.StructType([*[tokens.schema[n] for n in names], T.StructField("decoded", T.BinaryType())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             out = _codec(shared).decode(batch["ids"].to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
+        forget()
+        give_back()
 
     return tokens.select(*names).mapInArrow(over, kept)
 

@@ -17,12 +17,11 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.llm.common import WHITE, bounded, discard, materialize, table
+from plumbline.llm.common import WHITE, bounded, discard, materialize, table, text_batches
 
 NAME = "op4_line_dedup"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -169,12 +168,12 @@ def repeated_lines(documents: DataFrame, min_chars: int, min_docs: int) -> DataF
 def build_index(repeated: DataFrame, shards: int) -> DataFrame:
     """(shard, blob): each shard's keys come together in one task, KEYS_PER_SHARD of them on average."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = Shard(pdf.h1.to_numpy(np.int64).view(np.uint64), pdf.h2.to_numpy(np.int64), pdf.n.to_numpy(np.int64), pdf.keep.to_numpy(np.int64), pdf.orphan.to_numpy(bool))
-        return pd.DataFrame({"shard": [int(pdf.shard.iloc[0])], "blob": [pickle.dumps(shard, 5)]})
+    def build(rows: pa.Table) -> pa.Table:
+        h1, h2, n, keep, orphan = (rows[c].to_numpy() for c in ("h1", "h2", "n", "keep", "orphan"))
+        return pa.table({"shard": rows["shard"][:1], "blob": pa.array([pickle.dumps(Shard(h1.view(np.uint64), h2, n, keep, orphan), 5)], pa.binary())})
 
     kept = repeated.withColumns({"orphan": F.col("keep").isNull(), "keep": F.coalesce("keep", F.lit(0).cast("long"))})
-    return kept.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, blob binary")
+    return kept.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, "shard int, blob binary")
 
 
 def _shards(n_keys: int) -> int:
@@ -200,16 +199,16 @@ def _elsewhere(documents: DataFrame, rare: DataFrame, n_rare: int, known, min_ch
     lines = lines.withColumns({"shard": F.pmod("h2", F.lit(shards)).cast("int"), "block": F.pmod(F.xxhash64("doc_id", "h1"), F.lit(blocks))})
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
-    def probe(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return left.iloc[:0][["doc_id", "h1", "h2"]]
-        no_id = left.doc_id.isna().to_numpy()
-        ids = np.where(no_id, 0, left.own_id.to_numpy(np.int64))
-        _, gone = pickle.loads(right.blob.iloc[0]).gone(left.h1.to_numpy(np.int64).view(np.uint64), left.h2.to_numpy(np.int64), ids, no_id)
-        return pd.DataFrame({"doc_id": pd.Series(ids[gone], dtype="Int64").mask(pd.Series(no_id[gone])), "h1": left.h1.to_numpy()[gone], "h2": left.h2.to_numpy()[gone]})
+            return left.slice(0, 0).select(["doc_id", "h1", "h2"])
+        no_id = left["doc_id"].is_null().to_numpy()
+        ids = left["doc_id"].fill_null(0).to_numpy()
+        _, gone = pickle.loads(right["blob"][0].as_py()).gone(left["h1"].to_numpy().view(np.uint64), left["h2"].to_numpy(), ids, no_id)
+        return left.select(["doc_id", "h1", "h2"]).filter(pa.array(gone))
 
-    met = lines.withColumn("own_id", F.coalesce("doc_id", F.lit(0).cast("long"))).groupBy("shard", "block").cogroup(index.groupBy("shard", "block"))
-    return met.applyInPandas(probe, "doc_id long, h1 long, h2 long"), [path, lines_path]
+    met = lines.groupBy("shard", "block").cogroup(index.groupBy("shard", "block"))
+    return met.applyInArrow(probe, "doc_id long, h1 long, h2 long"), [path, lines_path]
 
 
 def _other_name(name: str, names: list[str]) -> str:
@@ -229,6 +228,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     those named n_lines and n_dropped, which are replaced.
     """
     spark = documents.sparkSession
+    text_batches(spark)
     repeated, path = materialize(repeated_lines(documents, min_chars, min_docs), "repeated-lines")
     n = repeated.count()
     least = 0 if n * BYTES_PER_KEY <= max_index_bytes else _floor(repeated, max_index_bytes // BYTES_PER_KEY)
