@@ -21,13 +21,22 @@ def said(*parts) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def _sortable(df: DataFrame, c) -> Column:
+    """A text that sorts as the column does: numbers with zeros before them; null first."""
+    column = F.col(c) if isinstance(c, str) else c
+    kind = df.select(column).schema[0].dataType.typeName()
+    if kind in ("integer", "long", "short", "byte", "boolean"):
+        column = F.lpad(column.cast("long").cast("string"), 20, "0")
+    return F.coalesce(column.cast("string"), F.lit(""))
+
+
 def finding(df: DataFrame, id_, rule, category: str, message: Column, path=None, span: Column | None = None, reason=None, help_: str | None = None, analysis=None, emit: tuple = (), severity: str = "error") -> DataFrame:
     """A finding for each row. emit: columns that order the findings of a rule as they are found."""
-    order = F.struct(*[F.col(c).alias(f"e{i}") if isinstance(c, str) else c.alias(f"e{i}") for i, c in enumerate(emit)]) if emit else F.struct(F.lit(0).alias("e0"))
+    order = F.concat_ws("\1", *[_sortable(df, c) for c in emit]) if emit else F.lit("")
     return df.select(
         text(id_).alias("id"), text(rule).alias("rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), message.alias("message"),
         text(path).alias("path"), (F.lit(None) if span is None else span).cast(SPAN).alias("span"), text(reason).alias("reason"), text(help_).alias("help"),
-        text(analysis).alias("analysis"), F.to_json(order).alias("emit"),
+        text(analysis).alias("analysis"), order.alias("emit"),
     )
 
 

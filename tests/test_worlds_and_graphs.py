@@ -84,6 +84,10 @@ def test_reports(spark):
     text = O.report_text(whole)
     assert text.startswith("error[A-1]: it's 0\n   = rule: rule\n") and "  --> b.rs:2:1\n" in text and "1,234 Rust files" in text and text.endswith("Status: fail (3 errors, 0 warnings, 0 notes)\n")
     assert json.loads(O.report_json(whole)) == whole and O.report(found.limit(0), {"complete": True})["status"] == "pass" and O.report(found.limit(0), {})["status"] == "invalid"
+    ten = spark.range(12)
+    many = findings.union([findings.finding(ten, "X", "r", "c", findings.said(F.col("id")), emit=(-F.col("id"),)), findings.finding(ten, "Y", "r", "c", findings.said(F.col("id")), emit=("id",))])
+    assert [f["message"] for f in sorted(O.report(many, {"complete": True}, 14)["findings"], key=lambda f: (f["id"], int(f["message"]))) if f["id"] == "Y"] == ["0", "1"]
+    assert [f["message"] for f in O.report(many.filter("id = 'Y'"), {"complete": True}, 11)["findings"]] == sorted(map(str, range(11)))
     changes = D.compare(spark, {}, None, {"repository": {"exclude": ["x"]}}, None)
     assert O.changes_text(changes) == "GRANT repository.exclude repository:x\n  contract now excludes repository source\n\nChanges: 1 grants, 0 revokes, 0 debt, 0 cleanup, 0 neutral, 0 unknown\n"
     assert json.loads(O.changes_json(changes))["summary"]["grants"] == 1
