@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.predicates import normalized_path, path_matches, policy_names, production_applicable, quoted
 from plumbline.operators.findings import finding, matched, patterns, policy, said, small
+from plumbline.sources.shared import discard, materialize
+
+#: Selectors of owners up to this many also filter facts before these meet their files; beyond it they only travel as a policy.
+MAX_FILTERS = 64
 
 SCOPES = "name string, include array<string>, exclude array<string>, deny array<string>, reason string"
 PROFILES = "name string, reachability string, effects array<string>"
@@ -151,23 +155,41 @@ def operation_matches(selector: Column, owner_kind: Column, name: Column, canoni
     return F.when(owner_kind == "MethodName", normalized_path(selector) == normalized_path(name)).otherwise(whole)
 
 
+def _selected(rows: DataFrame, fits: list[Column]) -> DataFrame:
+    """The rows that some owner's selector fits: a filter on their own columns, which the engine takes to where they are read."""
+    if len(fits) > MAX_FILTERS:
+        return rows
+    return rows.filter(reduce(Column.__or__, fits, F.lit(False)))
+
+
 def owner_evidence(files: DataFrame, facts: DataFrame, operations: DataFrame, owners: DataFrame, n_owners: int) -> DataFrame:
-    """(ord, path, evidence, kind, ordinal, name, span, quality) of what each owner governs in the files within it."""
+    """(ord, path, evidence, kind, ordinal, name, span, quality) of what each owner governs in the files within it (J4); a stored table.
+
+    Facts and operations are read once each, and only those that some selector fits leave where they are read.
+    """
+    spark = files.sparkSession
     within = governed(files, owners, "within").join(files.select("path", "bits"), "path")
     o = small(owners.select("ord", F.col("kind").alias("owner_kind"), "reachability", "selector", "mutating_methods"), n_owners)
+    selectors = sorted({(r.kind, r.selector) for r in owners.filter("selector is not null").select("kind", "selector").collect()})  # a policy's rows
     base = ["ord", "path", "kind", "ordinal", "name", "span", "quality"]
-    plain = _with_names(facts.filter("kind in ('path', 'call')")).join(within, "path").join(o, "ord").filter("owner_kind in ('Call', 'Capability')")
+    named = _with_names(facts.filter("kind in ('path', 'call')"))
+    named = _selected(named, [path_matches(F.lit(x), F.col("names"), F.col("quality")) for x in sorted({x for k, x in selectors if k in ("Call", "Capability")})])
+    plain = named.join(within, "path").join(o, "ord").filter("owner_kind in ('Call', 'Capability')")
     plain = plain.filter(applies(F.col("reachability"), F.col("bits"), F.col("guard")) & path_matches(F.col("selector"), F.col("names"), F.col("quality")))
-    paths = plain.filter("kind = 'path'")
+    pairs = F.broadcast(spark.createDataFrame([(k, x) for k, xs in GOVERNS.items() for x in xs], "owner_kind string, kind string"))
+    fits = lambda selector, owner_kind: operation_matches(selector, owner_kind, F.col("name"), F.col("canonical"), F.col("names"), F.col("quality"), F.col("kind"))
+    ops = _selected(_with_names(operations), [F.col("kind").isin(*GOVERNS[k]) & fits(F.lit(x), F.lit(k)) for k, x in selectors if k in GOVERNS])
+    ops = ops.join(within, "path").join(o, "ord").join(pairs, ["owner_kind", "kind"])
+    mutates = (F.col("kind") != "FieldReceiverCall") | F.coalesce(F.array_contains("mutating_methods", F.col("method")), F.lit(False))
+    ops = ops.filter(mutates & applies(F.col("reachability"), F.col("bits"), F.col("guard")) & fits(F.col("selector"), F.col("owner_kind")))
+    hits, path = materialize(_all([x.select(*base, "owner_kind", F.lit(is_op).alias("is_op")) for x, is_op in ((plain, False), (ops, True))]), "owner-hits")
+    paths = hits.filter("not is_op and kind = 'path'")
     capability = paths.filter("owner_kind = 'Capability'").select(*base, F.lit("use").alias("evidence"))
-    calls = call_evidence(plain.filter("owner_kind = 'Call' and kind = 'call'").select(*base), paths.filter("owner_kind = 'Call'").select(*base), ["ord", "path"])
+    calls = call_evidence(hits.filter("not is_op and owner_kind = 'Call' and kind = 'call'").select(*base), paths.filter("owner_kind = 'Call'").select(*base), ["ord", "path"])
     spanless = paths.filter("owner_kind = 'Call' and span is null").select(*base, F.lit("path").alias("evidence"))
-    pairs = F.broadcast(files.sparkSession.createDataFrame([(k, x) for k, xs in GOVERNS.items() for x in xs], "owner_kind string, kind string"))
-    ops = _with_names(operations).join(within, "path").join(o, "ord").join(pairs, ["owner_kind", "kind"])
-    mutates = (F.col("kind") != "FieldReceiverCall") | F.coalesce(F.array_contains("mutating_methods", F.col("method")), F.lit(False))
-    fits = operation_matches(F.col("selector"), F.col("owner_kind"), F.col("name"), F.col("canonical"), F.col("names"), F.col("quality"), F.col("kind"))
-    ops = ops.filter(mutates & applies(F.col("reachability"), F.col("bits"), F.col("guard")) & fits).select(*base, F.lit("operation").alias("evidence"))
-    return _all([capability, calls, spanless, ops])
+    found, _ = materialize(_all([capability, calls, spanless, hits.filter("is_op").select(*base, F.lit("operation").alias("evidence"))]), "owner-evidence")
+    discard(spark, path)
+    return found
 
 
 def owner_findings(files: DataFrame, facts: DataFrame, operations: DataFrame, expansions: DataFrame, owners: list[dict]) -> DataFrame:
@@ -182,12 +204,12 @@ def owner_findings(files: DataFrame, facts: DataFrame, operations: DataFrame, ex
     missing = allow.join(within, ["ord", "path"], "left_anti").join(told, "ord")
     found = owner_evidence(files, facts, operations, own, n)
     inside = found.join(allow, ["ord", "path"], "left_semi")
-    outside = found.join(allow, ["ord", "path"], "left_anti").join(told, "ord")
-    # Outside, a call owner's paths count only in files without a matching call; its references are paths as well.
+    outside = found.join(allow, ["ord", "path"], "left_anti")
+    # Outside, a call owner's paths count only in files without a matching call; its references are paths as well (no other owner has either).
     has_call = outside.filter("evidence = 'call'").select("ord", "path").distinct()
-    plain = outside.filter("owner_kind <> 'Call' or evidence = 'call'")
-    fallback = outside.filter("owner_kind = 'Call' and evidence in ('reference', 'path')").join(has_call, ["ord", "path"], "left_anti")
-    used_outside = plain.unionByName(fallback)
+    plain = outside.filter("evidence not in ('reference', 'path')")
+    fallback = outside.filter("evidence in ('reference', 'path')").join(has_call, ["ord", "path"], "left_anti")
+    used_outside = plain.unionByName(fallback).join(told, "ord")  # what is told of an owner may be long: last
     of = {"path": F.col("path"), "span": F.col("span"), "reason": F.col("reason"), "analysis": F.col("quality")}
     order = ("ord", F.lit(1), "path", "ordinal")
     # Inside, a file gives one finding: of its first reference, else of its first call that isn't exact, or operation.

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import capability as C, findings, rules
 
 PACKAGES = [("fixture-core", "crates/fixture-core"), ("fixture-manager", "crates/fixture-manager"), ("loose", "."), ("both", "b")]
@@ -83,3 +85,19 @@ def test_owners_by_hand(spark):
         ("OWN-005", "fs", "in.rs", 2), ("OWN-005", "fs", "in2.rs", 1), ("OWN-003", "fs", "out.rs", 4), ("OWN-003", "fs", "out2.rs", None), ("OWN-003", "prod", "out.rs", 4),
         ("OWN-006", "read", "in.rs", 1), ("OWN-006", "read", "in2.rs", 1), ("OWN-003", "read", "out.rs", 2),
     }
+
+
+def test_owner_rules_read_facts_once_and_take_few_along(spark, sf_dir, monkeypatch):
+    """The result comes from stored evidence, an owner's words meet it after every exchange, and selectors filter facts before they are joined, or only travel."""
+    from plumbline.plans import policy_queries
+
+    found = policy_queries.owner_rules(spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan and "o_custkey" not in plan
+    rows = sorted(map(tuple, found.select("id", "rule", "message").collect()))
+    facts = policy_queries.facts.rows(spark, sf_dir, "facts")
+    kept = C._selected(C._with_names(facts), [C.path_matches(F.lit("std::net"), F.col("names"), F.col("quality"))])
+    above, below = kept._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    assert "std::net::" not in above and "std::net::" in below
+    monkeypatch.setattr(C, "MAX_FILTERS", 0)
+    assert sorted(map(tuple, policy_queries.owner_rules(spark, sf_dir).select("id", "rule", "message").collect())) == rows
