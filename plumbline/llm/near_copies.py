@@ -12,8 +12,10 @@ that do are compared by their whole sets. Frequent shingles come last in the ord
 frequencies are those of a sample, and decide how many pairs meet but not which are found.
 
 Pairs of a large meeting aren't all enumerated: each text is first paired with the one before it and with the
-first of its meeting; then only texts of different groups are paired. Texts and shingles are told apart by 64-bit
-hashes.
+first of its meeting, then (`_nearer`) with the one before it by fingerprint and with the text that shares most of its
+prefix with others, where fingerprints are near, as all copies of one text link to it but few to each other. At last only
+texts of groups that are still different are paired, all of them: the steps before decide how many these are, not
+which links are found. Texts and shingles are told apart by 64-bit hashes.
 """
 from __future__ import annotations
 
@@ -30,6 +32,8 @@ from plumbline.llm.simhash import links, majority
 
 WORDS, SEED, RADIUS = 5, 42, 2
 SAMPLE, LISTED = 10_000, 300_000  # texts whose shingles are counted for the order; frequent shingles it lists
+NEAR = 20  # fingerprints of pairs that are tried early differ in at most so many bits
+SIMILAR_SIZES = "5 * lo >= 4 * hi"
 MAX_IDS = 4_000_000  # ids travel to the texts up to this many; beyond it they meet in a join
 
 
@@ -120,6 +124,33 @@ def _pair(x: str, y: str, n: str, m: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.least(n, m).cast("long").alias("lo"), F.greatest(n, m).cast("long").alias("hi")]
 
 
+def _mixed(met: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
+    """(h, id, n, g) of the meetings that hold texts of different groups by the links found, stored; and the path."""
+    group = components(found).select(F.col("node").alias("id"), F.col("component").alias("g"))
+    rest = met.select("h", "id", "n").join(group, "id", "left").select("h", "id", "n", F.coalesce("g", "id").alias("g"))
+    mixed = rest.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("h")
+    return materialize(rest.join(mixed, "h", "left_semi"), "copies-rest")
+
+
+def _nearer(rest: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(a, b, lo, hi): of each meeting, texts of different groups and near fingerprints: neighbours by fingerprint, from another bit on in
+    each meeting, and each text with the one that shares most of its prefix."""
+    shared = rest.groupBy("id").agg(F.count("*").alias("shared")).join(firsts.select("id", "fp"), "id")
+    turned = F.expr("shiftleft(fp, cast(pmod(h, 64) as int)) | shiftrightunsigned(fp, cast(64 - pmod(h, 64) as int))")
+    spots = rest.join(shared, "id").withColumn("turned", turned).withColumn("own", F.struct("id", "n", "g", "fp"))
+    spots = spots.withColumn("p", F.lag("own").over(Window.partitionBy("h").orderBy("turned", "id")))
+    hubs = spots.groupBy("h").agg(F.max_by("own", F.struct("shared", "id")).alias("p"))
+    pairs = spots.select("own", "p").unionByName(spots.select("h", "own").join(hubs, "h").select("own", "p"))
+    pairs = pairs.filter((F.col("own.g") != F.col("p.g")) & (F.bit_count(F.col("own.fp").bitwiseXOR(F.col("p.fp"))) <= NEAR))
+    return pairs.select(*_pair("own.id", "p.id", "own.n", "p.n")).distinct()
+
+
+def _apart(rest: DataFrame) -> DataFrame:
+    """(a, b, lo, hi): all pairs of texts of different groups and similar sizes, a row for each meeting."""
+    x, y = (rest.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "g")]) for side in "xy")
+    return x.join(y, "h").filter("id_x < id_y and g_x <> g_y").select(*_pair("id_x", "id_y", "n_x", "n_y")).filter(SIMILAR_SIZES)
+
+
 def near_copies(documents: DataFrame) -> DataFrame:
     """(doc_id, id, component_id) of each row: id tells texts apart, component_id is the least doc_id of the group.
 
@@ -133,18 +164,16 @@ def near_copies(documents: DataFrame) -> DataFrame:
     spots = spots.select("h", "id", "n", F.lag("id").over(row).alias("p"), F.lag("n").over(row).alias("p_n"), F.lead("id").over(row).alias("q"), F.first("id").over(row).alias("f"), F.first("n").over(row).alias("f_n"))
     met, met_path = materialize(spots.filter("p is not null or q is not null").drop("q"), "copies-met")
     beside = met.filter("p is not null").select(*_pair("p", "id", "p_n", "n")).unionByName(met.filter("f <> id and f <> p").select(*_pair("f", "id", "f_n", "n")))
-    similar_sizes = "5 * lo >= 4 * hi"
-    tried, tried_path = materialize(_enough(beside.filter(similar_sizes)).unionByName(_covered(firsts).filter(similar_sizes).select("a", "b")).distinct(), "copies-tried")
+    tried, tried_path = materialize(_enough(beside.filter(SIMILAR_SIZES)).unionByName(_covered(firsts).filter(SIMILAR_SIZES).select("a", "b")).distinct(), "copies-tried")
     found, found_path = _verified(tried, texts, "copies-links")
-    group = components(found).select(F.col("node").alias("id"), F.col("component").alias("g"))
-    rest = met.select("h", "id", "n").join(group, "id", "left").select("h", "id", "n", F.coalesce("g", "id").alias("g"))
-    mixed = rest.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("h")
-    rest, rest_path = materialize(rest.join(mixed, "h", "left_semi"), "copies-rest")
-    x, y = (rest.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "g")]) for side in "xy")
-    apart = x.join(y, "h").filter("id_x < id_y and g_x <> g_y").select(*_pair("id_x", "id_y", "n_x", "n_y")).filter(similar_sizes)
-    more, more_path = materialize(_enough(apart).join(tried, ["a", "b"], "left_anti"), "copies-more")
+    rest, rest_path = _mixed(met, found)
+    early, early_path = materialize(_nearer(rest, firsts).filter(SIMILAR_SIZES).select("a", "b").join(tried, ["a", "b"], "left_anti"), "copies-early")
+    nearer, nearer_path = _verified(early, texts, "copies-early-links")
+    found, tried = found.unionByName(nearer), tried.unionByName(early)
+    last, last_path = _mixed(rest, found)
+    more, more_path = materialize(_enough(_apart(last)).join(tried, ["a", "b"], "left_anti"), "copies-more")
     others, others_path = _verified(more, texts, "copies-more-links")
     named = components(found.unionByName(others)).select(F.col("node").alias("id"), "component")
-    discard(spark, firsts_path, met_path, tried_path, found_path, rest_path, more_path, others_path)
+    discard(spark, firsts_path, met_path, tried_path, found_path, rest_path, early_path, nearer_path, last_path, more_path, others_path)
     of = texts.select("doc_id", "id").join(named, "id", "left").select("doc_id", "id", F.coalesce("component", "id").alias("component"))
     return of.join(of.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "id", "component_id")

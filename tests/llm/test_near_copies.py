@@ -73,3 +73,20 @@ def test_repeats_nulls_extra_columns(spark):
 def test_chance_links_keep_their_documents(spark):
     docs = common.table(spark, D, "documents").filter("doc_id in (4699, 8575, 1700, 9388)")
     assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, docs, D).collect()) == [1700, 4699, 8575, 9388]
+
+
+def test_a_crowd_of_copies_is_joined_before_its_pairs_are_listed(spark, monkeypatch):
+    """Copies that each differ from one text, and most by more than the similarity from each other: few pairs of different groups are left."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    docs = {}
+    for i in range(120):
+        copy = list(base)
+        for at in rng.sample(range(400), 1 + i % 8):
+            copy[at] = f"x{rng.random()}"
+        docs[i] = " ".join(copy)
+    rests, mixed = [], m._mixed
+    monkeypatch.setattr(m, "_mixed", lambda met, found: rests.append((out := mixed(met, found))[0].localCheckpoint()) or out)
+    assert groups(spark.createDataFrame(list(docs.items()), "doc_id long, text string")) == brute_groups(docs)
+    first, last = (m._apart(r).count() for r in rests)
+    assert first > 1000 and 5 * last < first
