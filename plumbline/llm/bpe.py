@@ -29,7 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from plumbline.llm.common import bounded, give_back, table, text_batches
 
 NAME = "op5_bpe"
-CACHE, WORDS_AT_ONCE, CHARS_AT_ONCE, TOKENS_AT_ONCE = 100_000, 10_000, 1_000_000, 200_000
+CACHE, WORDS_AT_ONCE, CHARS_AT_ONCE, TOKENS_AT_ONCE = 100_000, 10_000, 2_000_000, 200_000
+
+#: Rows that a worker holds at once, with their ids and bytes; pieces of texts that it remembers, as finding their words anew takes little time.
+ROWS_AT_ONCE, PIECES = 250, 100_000
 
 #: Bytes of a long word that are contracted together, and how many of these chunks are at a time.
 CHUNK, CHUNKS_AT_ONCE = 32, 2048
@@ -196,7 +199,7 @@ class Codec:
                 size += len(texts[j] or "")
                 j += 1
             cut = [pieces(t or "") for t in texts[i:j]]
-            if len(self.chunks) > 2 * CACHE:
+            if len(self.chunks) > PIECES:
                 self.chunks.clear()
             if len(self.words) > CACHE:
                 self.words.clear()
@@ -257,12 +260,17 @@ def _share(spark: SparkSession, vocabulary: str):
     return spark.sparkContext.broadcast({"key": hash(frozenset(ranks.items())), "ranks": ranks})
 
 
+def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of batches that a worker holds at once."""
+    return bounded(batches, ROWS_AT_ONCE, 2 << 20)
+
+
 def _add(df: DataFrame, names: list[str], run) -> DataFrame:
     kept = df.drop(*names)
     schema = T.StructType([*kept.schema.fields, *[T.StructField(n, T.BinaryType()) for n in names]])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in bounded(batches):
+        for part in held(batches):
             new = run(part)
             yield pa.RecordBatch.from_arrays([*[part[n] for n in kept_names], *[pa.array(x, pa.binary()) for x in new]], [*kept_names, *names])
         forget()
@@ -296,7 +304,7 @@ def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
     kept = T.StructType([*[tokens.schema[n] for n in names], T.StructField("decoded", T.BinaryType())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
+        for batch in held(batches):
             out = _codec(shared).decode(batch["ids"].to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
         forget()

@@ -8,8 +8,9 @@ only if the whole sets are as similar: no link is lost, and none is made by chan
 Under any one order of all shingles, two sets of that similarity share one of the first
 n - ceil(0.8 n) + 1 shingles of each, so only these prefixes are brought together. What two texts share beyond their
 prefixes is at most what one of them has left, so a pair must share a number of prefix shingles (`_enough`); pairs
-that do are compared by their whole sets. Frequent shingles come last in the order, which keeps the meetings small;
-frequencies are those of a sample, and decide how many pairs meet but not which are found.
+that do are compared by their whole sets. Frequent shingles come last in the order, which keeps the meetings small: all texts
+are counted, as with a sample the shingles too rare for it, and so the meetings, grow with the input. Shingles are dealt
+to the counting tasks packed, 4 bytes each. The order decides how many pairs meet but not which are found.
 
 Pairs of a large meeting aren't all enumerated: each text is first paired with the one before it and with the
 first of its meeting, then (`_nearer`) with the one before it by fingerprint and with the text that shares most of its
@@ -31,7 +32,8 @@ from plumbline.llm.components import components
 from plumbline.llm.simhash import links, majority
 
 WORDS, SEED, RADIUS = 5, 42, 2
-SAMPLE, LISTED = 10_000, 300_000  # texts whose shingles are counted for the order; frequent shingles it lists
+OFTEN, LISTED = 5, 4_000_000  # the order lists shingles of so many texts or more, and so many of them at most (12 bytes each in a worker)
+RANGE_BITS, DEALT = 10, 1 << 20  # the counting tasks' ranges of hashes are told by so many bits; shingles that a task deals at once
 NEAR = 20  # fingerprints of pairs that are tried early differ in at most so many bits
 SIMILAR_SIZES = "5 * lo >= 4 * hi"
 MAX_IDS = 4_000_000  # ids travel to the texts up to this many; beyond it they meet in a join
@@ -50,17 +52,23 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def prefix(own: np.ndarray, listed: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 of a set in the order of (count, hash); `listed` is sorted."""
+    """The first n - ceil(0.8 n) + 1 of a set in the order of (count, hash); `listed` has the sorted keys of frequent ones."""
     n = len(own)
     if not n:
         return own
     often = np.zeros(n, np.int64)
     if len(listed):
-        at = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
-        often = np.where(listed[at] == own, counts[at], 0)
+        keys = _keys(own)
+        at = np.minimum(np.searchsorted(listed, keys), len(listed) - 1)
+        often = np.where(listed[at] == keys, counts[at], 0)
     return own[np.lexsort((own, often))[: n - (4 * n + 4) // 5 + 1]]
 
 
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    """The upper RANGE_BITS + 32 bits, by which shingles are counted; two of one key have one count."""
+    return (hashes.view(np.uint64) >> np.uint64(32 - RANGE_BITS)).view(np.int64)
+
+
 def _batch(ids, own: list[np.ndarray], out: list[np.ndarray]) -> pa.RecordBatch:
     hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out)))
     codes = pa.array([majority(x.view(np.uint64)) for x in own], pa.int64())
@@ -79,14 +87,47 @@ def _sets(texts: DataFrame, listed: np.ndarray | None = None, counts: np.ndarray
     return texts.select("id", "text").mapInArrow(run, "id long, n int, fp long, hashes array<long>")
 
 
+def _dealt(texts: DataFrame) -> DataFrame:
+    """(part, keys): the shingles of texts(id, text) by ranges of their keys, the lower 32 bits packed; a text repeated in a task counts once."""
+
+    def deal(own: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(_keys(np.concatenate(own)))
+        ends = np.searchsorted(keys >> 32, np.arange((1 << RANGE_BITS) + 1))
+        low, some = keys.astype("<u4"), np.flatnonzero(np.diff(ends))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([low[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary())], ["part", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size, met = [], 0, set()
+        for part in bounded(batches, 256, 2 << 20):
+            for i, text in zip(part["id"].to_pylist(), part["text"]):
+                if i not in met:
+                    met.add(i)
+                    own.append(shingles(text.as_py()))
+                    size += len(own[-1])
+            if size >= DEALT:
+                yield deal(own)
+                own, size, met = [], 0, set()
+        if size:
+            yield deal(own)
+
+    text_batches(texts.sparkSession)
+    return texts.select("id", "text").mapInArrow(run, "part int, keys binary")
+
+
 def _order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles, sorted, and how often a sample of the texts holds each."""
-    step = max(1, texts.count() // SAMPLE)
-    seen = _sets(texts.filter(F.pmod("id", F.lit(step)) == 0)).select(F.explode("hashes").alias("h")).groupBy("h").count().filter("count > 2")
-    found = seen.orderBy(F.desc("count"), "h").limit(LISTED).toArrow()
-    h, c = found["h"].to_numpy(), found["count"].to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order]
+    """The sorted keys of the frequent shingles, and how many texts hold each."""
+    least = OFTEN
+
+    def count(part: pa.Table) -> pa.Table:
+        keys, counts = np.unique(np.frombuffer(b"".join(part["keys"].to_pylist()), "<u4"), return_counts=True)
+        often = counts >= least
+        return pa.table({"key": (part["part"][0].as_py() << 32) + keys[often].astype(np.int64), "count": counts[often].astype(np.int32)})
+
+    seen = _dealt(texts).groupBy("part").applyInArrow(count, "key long, count int")
+    found = seen.orderBy(F.desc("count"), "key").limit(LISTED).toArrow()
+    key, c = found["key"].to_numpy(), found["count"].to_numpy()
+    order = np.argsort(key)
+    return key[order], c[order]
 
 
 def _covered(firsts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -84,3 +85,15 @@ def test_query(spark, sf_dir):
         assert r.n_tokens == len(own)
         assert r.ids_sha256 == hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_what_a_worker_holds_is_bounded():
+    """Pieces are forgotten beyond a number, and a worker gets its texts in small parts."""
+    codec = m.Codec(RANKS)
+    for k in range(4):
+        text = " ".join(str(x)[-3:] + "," + str(x)[:-3] for x in range(100_000 + 60_000 * k, 160_000 + 60_000 * k))
+        assert ids(codec.encode([text])[0]) == TIKTOKEN.encode_ordinary(text)
+        assert len(codec.chunks) <= 165_000
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 5000] * 1000})
+    sizes = [part.num_rows for part in m.held(iter([batch]))]
+    assert sum(sizes) == 1000 and max(sizes) <= 250

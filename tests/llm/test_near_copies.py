@@ -90,3 +90,12 @@ def test_a_crowd_of_copies_is_joined_before_its_pairs_are_listed(spark, monkeypa
     assert groups(spark.createDataFrame(list(docs.items()), "doc_id long, text string")) == brute_groups(docs)
     first, last = (m._apart(r).count() for r in rests)
     assert first > 1000 and 5 * last < first
+
+
+def test_the_order_counts_all_texts(spark):
+    """Shingles that 8 of 40,000 texts share come last in the order, so texts that share no more don't meet."""
+    texts = spark.range(40_000, numPartitions=4).selectExpr("id", "id % 5000 as g").selectExpr("id", "concat_ws(' ', 'a' || g, 'b' || g, 'c' || g, 'd' || g, 'e' || g, 'u' || id) as text")
+    listed, counts = m._order(texts)
+    assert listed.tolist() == sorted(m._keys(m.shingles(f"a{g} b{g} c{g} d{g} e{g}"))[0] for g in range(5000)) and set(counts.tolist()) == {8}
+    met = m._sets(texts, listed, counts).selectExpr("id", "explode(hashes) as h").groupBy("h").count()
+    assert met.count() == 40_000 and met.filter("count > 1").count() == 0
