@@ -9,7 +9,7 @@ bounded number of positions. A row of tokens is a text's encoding if and only if
 encoding of their own bytes; so chunks whose meeting tokens are, stand side by side, and elsewhere the tokens
 around the place are contracted anew, a stretch that grows until both its ends fit (`_meet`).
 
-Words met before are remembered, up to a bounded number. Ids are stored packed, as little-endian unsigned 32-bit
+Words and pieces met before are remembered, up to a bounded number (`Memory`). Ids are stored packed, as little-endian unsigned 32-bit
 integers (`unpack` gives the array). DuckDB gets one thread, bounded memory and no disk in each worker.
 """
 from __future__ import annotations
@@ -23,16 +23,20 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.llm.common import bounded, give_back, table, text_batches
 
 NAME = "op5_bpe"
-CACHE, WORDS_AT_ONCE, CHARS_AT_ONCE, TOKENS_AT_ONCE = 100_000, 10_000, 2_000_000, 200_000
+WORDS_AT_ONCE, CHARS_AT_ONCE, TOKENS_AT_ONCE = 20_000, 2_000_000, 200_000
 
-#: Rows that a worker holds at once, with their ids and bytes; pieces of texts that it remembers, as finding their words anew takes little time.
-ROWS_AT_ONCE, PIECES = 250, 100_000
+#: Rows that a worker holds at once, with their ids and bytes.
+ROWS_AT_ONCE = 250
+
+#: Words, pieces of texts and parts of long words that it remembers; fewer pieces, as finding their words anew takes little time.
+WORDS, PIECES, PARTS = 150_000, 50_000, 50_000
 
 #: Bytes of a long word that are contracted together, and how many of these chunks are at a time.
 CHUNK, CHUNKS_AT_ONCE = 32, 2048
@@ -44,7 +48,7 @@ _CONTRACT = f"""
 WITH RECURSIVE s(w, toks, step) AS (
   SELECT w, toks, 0 FROM start
   UNION ALL
-  SELECT s.w, list_concat(list_concat(s.toks[1:b.p - 1], [b.rank]), s.toks[b.p + 2:]), s.step + 1
+  SELECT s.w, list_concat(s.toks[1:b.p - 1], [b.rank], s.toks[b.p + 2:]), s.step + 1
   FROM s JOIN (
     SELECT w, arg_min(rank, rank::BIGINT * 4294967296 + pos) AS rank, arg_min(pos, rank::BIGINT * 4294967296 + pos) AS p
     FROM (SELECT w, pos, toks[pos]::BIGINT * 65536 + toks[pos + 1] AS pair FROM (SELECT w, toks, unnest(range(1, len(toks))) AS pos FROM s))
@@ -62,36 +66,59 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def pieces(text: str) -> list[str] | None:
     """Cuts of a text at places where no match of the pattern can cross: before single spaces. None if it has
     white space where a cut could change a match."""
-    if "\0" in text or _ODD(text):
+    if "\0" in text or text[:1] == " " and not text[1:2].strip() or _ODD(text):
         return None
     return text.replace(" ", "\0 ").split("\0")
 
 
-_ODD = re.compile(r" (?=\s|\Z)(?<=\s\s)|^ (?=\s|\Z)").search
+_ODD = re.compile(r" (?!\S)(?<=\s\s)").search  # it looks for a fixed character first, five times faster than alternatives
+
+
+class Memory:
+    """What was found for keys, in two generations: when the newer has more than `most`, or than 16 times as many
+    characters, the older goes, but for what was asked for since."""
+
+    def __init__(self, most: int):
+        self.most, self.chars, self.new, self.old = most, 0, {}, {}
+
+    def __len__(self) -> int:
+        return len(self.new) + len(self.old)
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that aren't remembered, for the caller to add to `new`. The others are in it, until the next call."""
+        if len(self.new) > self.most or self.chars > 16 * self.most:
+            self.chars, self.new, self.old = 0, {}, self.new
+        absent = keys.difference(self.new)
+        self.chars += sum(map(len, absent))
+        unknown = absent.difference(self.old)
+        self.new.update((k, self.old.pop(k)) for k in absent.difference(unknown))
+        return unknown
+
+
+def merge_table(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
+    """Each two tokens whose bytes together are a token, and its rank."""
+    pair, rank = [], []
+    for token, r in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                pair.append((a << 16) + b)
+                rank.append(r)
+    return {"pair": np.array(pair, np.int64), "rank": np.array(rank, np.int32)}
 
 
 class Codec:
     """Encodes and decodes with one DuckDB connection."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, merges: dict[str, np.ndarray] | None = None):
         self.ranks, self.match = ranks, regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunks = Memory(WORDS), Memory(PIECES)
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
-        pair, rank = [], []
-        for token, r in ranks.items():
-            for i in range(1, len(token)):
-                a, b = ranks.get(token[:i]), ranks.get(token[i:])
-                if a is not None and b is not None:
-                    pair.append((a << 16) + b)
-                    rank.append(r)
-        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
         self.tokens = {r: t for t, r in ranks.items()}
         self.parts: dict[bytes, array] = {}  # chunks and stretches of the long word at hand
-        self._load("merges", {"pair": np.array(pair, np.int64), "rank": np.array(rank, np.int32)})
-        self._load("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "hex": [t.hex() for t in ranks]})
+        self._load("merges", merges or merge_table(ranks))
+        self._load("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "token": pa.array(list(ranks), pa.binary())})
 
     def _load(self, name: str, columns: dict) -> None:
         self.con.register("loaded", pa.table(columns))
@@ -120,14 +147,14 @@ class Codec:
         """Remembers the packed ids of words."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         own = list(map(self.ranks.get, raw))
-        self.words.update((w, r.to_bytes(4, "little")) for w, r in zip(words, own) if r is not None)
+        self.words.new.update((w, r.to_bytes(4, "little")) for w, r in zip(words, own) if r is not None)
         todo = [i for i, r in enumerate(own) if r is None and len(raw[i]) <= CHUNK]
         for k in range(0, len(todo), WORDS_AT_ONCE):
             part = todo[k : k + WORDS_AT_ONCE]
-            self.words.update(zip([words[i] for i in part], self._contract([raw[i] for i in part])))
+            self.words.new.update(zip([words[i] for i in part], self._contract([raw[i] for i in part])))
         for i, r in enumerate(own):
             if r is None and len(raw[i]) > CHUNK:
-                self.words[words[i]] = self._long(raw[i])
+                self.words.new[words[i]] = self._long(raw[i])
 
     def _learn(self, strings: Iterator[bytes]) -> None:
         """Contracts those strings that `parts` doesn't have."""
@@ -164,7 +191,7 @@ class Codec:
         """The packed ids of a word of more than CHUNK bytes."""
         out, step = array("I"), CHUNK * CHUNKS_AT_ONCE
         for k in range(0, len(word), step):
-            if len(self.parts) > CACHE // 2:
+            if len(self.parts) > PARTS:
                 self.parts.clear()
             block = word[k : k + step]
             chunks = [block[x : x + CHUNK] for x in range(0, len(block), CHUNK)]
@@ -199,18 +226,22 @@ class Codec:
                 size += len(texts[j] or "")
                 j += 1
             cut = [pieces(t or "") for t in texts[i:j]]
-            if len(self.chunks) > PIECES:
-                self.chunks.clear()
-            if len(self.words) > CACHE:
-                self.words.clear()
             whole = [self.match(t or "") if c is None else None for c, t in zip(cut, texts[i:j])]
-            fresh = {p: self.match(p) for p in set().union(*[c for c in cut if c is not None]).difference(self.chunks)}
-            unknown = set().union(*fresh.values(), *[w for w in whole if w is not None]).difference(self.words)
-            self.encode_words(sorted(unknown))
-            for p, words in fresh.items():
-                self.chunks[p] = self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
+            fresh = self.chunks.missing(set().union(*[c for c in cut if c is not None]))
+            # A space that no white space follows begins a match: such pieces are cut all at once, and there begins a piece.
+            many = [p for p in fresh if p[:1] == " " and p[1:2].strip()]
+            flat = self.match("".join(many))
+            starts = [k for k, w in enumerate(flat) if w[0] == " "]
+            single = {p: self.match(p) for p in fresh.difference(many)}
+            self.encode_words(list(self.words.missing(set(flat).union(*single.values(), *[w for w in whole if w is not None]))))
+            words, chunks = self.words.new, self.chunks.new
+            found = list(map(words.__getitem__, flat))
+            for p, x, y in zip(many, starts, [*starts, len(flat)][1:], strict=True):
+                chunks[p] = found[x] if y == x + 1 else b"".join(found[x:y])
+            for p, w in single.items():
+                chunks[p] = b"".join(map(words.__getitem__, w))
             for c, w in zip(cut, whole):
-                out.append(b"".join(map(self.words.__getitem__, w) if c is None else map(self.chunks.__getitem__, c)))
+                out.append(b"".join(map(words.__getitem__, w) if c is None else map(chunks.__getitem__, c)))
             i = j
         return out
 
@@ -228,11 +259,11 @@ class Codec:
                 j += 1
             flat = np.concatenate([ids for _, ids in parts[i:j]])
             self.con.register("tokens", pa.table({"pos": np.arange(size, dtype=np.int32), "id": flat}))
-            raw = self.con.execute("SELECT unhex(string_agg(hex, '' ORDER BY pos)) FROM tokens JOIN vocabulary USING (id)").fetchall()[0][0] or b""
-            lengths = np.where((flat >= 0) & (flat < len(self.sizes)), self.sizes[np.clip(flat, 0, len(self.sizes) - 1)], 0)
-            ends = np.cumsum(lengths)[np.cumsum([len(ids) for _, ids in parts[i:j]]) - 1]
-            for (row, _), x, y in zip(parts[i:j], [0, *ends[:-1].tolist()], ends.tolist()):
-                out[row].append(raw[x:y])
+            got = self.con.sql("SELECT coalesce(token, ''::BLOB) AS token FROM tokens LEFT JOIN vocabulary USING (id) ORDER BY pos").to_arrow_table()
+            ends = np.cumsum([0, *[len(ids) for _, ids in parts[i:j]]], dtype=np.int32)
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), got["token"].combine_chunks()), b"")
+            for (row, _), x in zip(parts[i:j], texts.to_pylist(), strict=True):
+                out[row].append(x)
             i = j
         return [b"".join(x) for x in out]
 
@@ -244,7 +275,7 @@ def _codec(shared) -> Codec:
     """This worker's codec for a broadcast vocabulary."""
     if shared.value["key"] not in _CODECS:
         _CODECS.clear()
-        _CODECS[shared.value["key"]] = Codec(shared.value["ranks"])
+        _CODECS[shared.value["key"]] = Codec(shared.value["ranks"], merges=shared.value["merges"])
     return _CODECS[shared.value["key"]]
 
 
@@ -257,7 +288,7 @@ def forget() -> None:
 
 def _share(spark: SparkSession, vocabulary: str):
     ranks = read_ranks(vocabulary)
-    return spark.sparkContext.broadcast({"key": hash(frozenset(ranks.items())), "ranks": ranks})
+    return spark.sparkContext.broadcast({"key": hash(frozenset(ranks.items())), "ranks": ranks, "merges": merge_table(ranks)})
 
 
 def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,3 +97,46 @@ def test_what_a_worker_holds_is_bounded():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * 5000] * 1000})
     sizes = [part.num_rows for part in m.held(iter([batch]))]
     assert sum(sizes) == 1000 and max(sizes) <= 250
+
+
+def test_frequent_words_are_contracted_once():
+    """Words that every text holds stay remembered while 200,000 others come and go, in a bounded memory."""
+    codec, times = m.Codec(RANKS), {}
+    contract = codec._contract
+
+    def counted(words):
+        for w in words:
+            times[w] = times.get(w, 0) + 1
+        return contract(words)
+
+    codec._contract = counted
+    frequent = [" " + "".join(random.Random(k).choices(string.ascii_lowercase, k=8)) for k in range(300)]
+    for k in range(10):
+        letters = "".join(random.Random(-1 - k).choices(string.ascii_lowercase, k=9 * 20_000))
+        others = [" " + letters[9 * i : 9 * i + 9] for i in range(20_000)]
+        text = "".join(frequent + others)
+        assert ids(codec.encode([text])[0]) == TIKTOKEN.encode_ordinary(text)
+        assert len(codec.words) <= 342_000 and len(codec.chunks) <= 165_000
+    assert {times.get(w.encode(), 0) for w in frequent} <= {0, 1}
+
+
+def test_long_words_are_remembered_up_to_a_number_of_characters():
+    codec = m.Codec(RANKS)
+    codec.words.most = codec.chunks.most = 1000
+    for k in range(40):
+        word = "z" * (3000 + k)
+        assert ids(codec.encode([word])[0]) == TIKTOKEN.encode_ordinary(word)
+        for memory in (codec.words, codec.chunks):
+            assert sum(map(len, [*memory.new, *memory.old])) <= 2 * (16_000 + 3040)
+
+
+def test_new_pieces_are_cut_together():
+    """One search finds the words of all new pieces of a batch, but for those at which white space could join."""
+    codec, calls = m.Codec(RANKS), []
+    match = codec.match
+    codec.match = lambda text: calls.append(text) or match(text)
+    texts = ["".join(f" w{k * 7919 % 100_003:x}it's,{k}\n" for k in range(5000)), "a \n b \u0085x \x1cy \tz", "\n c\n", " d", "e ", " ", "\u3000 f", "_ 's 'll 12a !!\n'd"]
+    got = codec.encode(texts)
+    assert [ids(x) for x in got] == [TIKTOKEN.encode_ordinary(t) for t in texts]
+    assert codec.decode(got) == [t.encode() for t in texts]
+    assert len(calls) < 30
